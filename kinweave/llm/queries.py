@@ -22,6 +22,13 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, score_quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "p_text", "p_meta", "score", "keep")
+
+
 def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -29,6 +36,49 @@ def op3_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotes import link_quotes
+
+    out = link_quotes(_table(spark, sf_dir, "conversations"))
+    return out.withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256)).drop("text")
+
+
+def op5_bitmask_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn_filters
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = learn_filters(docs.filter(~held_out(F.col("doc_id"))).select("text", "lang"))
+    return identify(docs.select("doc_id", "text"), filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_seed_and_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .forest import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op8_blocked_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    out = jaccard_components(_table(spark, sf_dir, "documents"), n=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def op9_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages, page_of
+
+    r = F.col("response")
+    captures = archive_pages(_table(spark, sf_dir, "pages"), min_payload=100)
+    return captures.select(page_of(F.col("record_id")).alias("page_id"), r["payload_bytes"].alias("payload_bytes"), r["digest"].alias("payload_digest"), r["type"].alias("record_type"), page_of(r["refers_to"]).alias("refers_to"), F.size("requests").alias("n_requests"), F.size("metadata").alias("n_metadata"))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -36,7 +86,8 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_histogram_sort, op3_line_runs, op10_best_fit)
+    f.__name__: f
+    for f in (op1_histogram_sort, op2_co_training, op3_line_runs, op4_quotation_links, op5_bitmask_filters, op6_seed_and_align, op7_prefix_forest, op8_blocked_product, op9_transactions, op10_best_fit)
 }
 
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -56,4 +107,14 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL OR o.top = k.doc_id), '')) AS kept_sha256
         FROM keyed k LEFT JOIN often o ON o.key = k.key GROUP BY k.doc_id
     """,
+    "op9_transactions": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
+        FROM f
+    """,
 }
