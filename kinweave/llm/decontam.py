@@ -56,7 +56,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 
 
 def _words(batch: pa.RecordBatch, n: int) -> tuple[tv.Words, np.ndarray, np.ndarray]:
-    w = tv.words(batch.column("text"))
+    w = tv.words(batch.column("text"), marks=True)
     return w, *tv.ngrams(w, n)
 
 
@@ -95,8 +95,8 @@ def _filter_bits(hashes: DataFrame, count: int) -> np.ndarray:
 def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, common: float = 0.001) -> DataFrame:
     """Passages of test items in documents: (doc_id, item_id, score, start, end, n_words), one per document and item.
 
-    docs has doc_id and text, items item_id and text. Words are separated by
-    ASCII white space, with A-Z lower-cased. The score is the Smith-Waterman
+    docs has doc_id and text, items item_id and text. Words are runs of
+    lower-cased text between ASCII white space or punctuation. The score is the Smith-Waterman
     score (match 2, others -1) over twice the item's words: 1 for an exact
     copy, 0.85 if one word in ten is replaced; passages from `least` count.
     start and end are word positions in the document.
@@ -112,6 +112,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6
     empty table on either side gives no rows.
     """
     spark = docs.sparkSession
+    items = items.withColumn("text", F.lower("text"))
     seeds = stage(item_seeds(items, n), "seeds")
     unique = seeds.select("hash").distinct()
     bits = spark.sparkContext.broadcast(_filter_bits(unique, unique.count()))
@@ -133,7 +134,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6
                 row = np.searchsorted(first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(g[at].view(np.int64)), pa.array(at - first[row])], names=["doc", "hash", "pos"])
 
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), "text")
+    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.lower("text").alias("text"))
     places = stage(keyed.mapInArrow(search, "doc long, hash long, pos long").join(unique, "hash", "left_semi"), "places")
     total = keyed.count()
     held = places.select("hash", "doc").distinct().groupBy("hash").agg(F.count("*").alias("held"))
@@ -160,7 +161,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                w = tv.words(part.column("text"))
+                w = tv.words(part.column("text"), marks=True)
                 out: list[tuple] = []
                 for i, (doc, spots) in enumerate(zip(part.column("doc").to_pylist(), part.column("windows").to_pylist(), strict=True)):
                     words = w.hash[w.first[i] : w.first[i + 1]]
@@ -178,7 +179,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6
             rows = []
             for blob, item in zip(windows, items, strict=True):
                 if item not in known:
-                    known[item] = tv.words(pa.array([item], pa.string())).hash
+                    known[item] = tv.words(pa.array([item], pa.string()), marks=True).hash
                 words = known[item]
                 best, a, b = align(words, np.frombuffer(blob, np.uint64))
                 rows.append((best / (MATCH * max(1, len(words))), a, b, len(words)))

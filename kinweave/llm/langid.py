@@ -77,11 +77,12 @@ def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Filters:
-    """languages in the order of their bits; masks by slot; rate: false positives of each language."""
+    """languages in the order of their bits; masks by slot; rate: false positives of each language; usual: its share of the texts, which breaks ties."""
 
     languages: list[str]
     masks: np.ndarray
     rate: np.ndarray
+    usual: np.ndarray
 
     def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hits of each text and language, n-grams of each text, and whether it has a letter."""
@@ -102,8 +103,8 @@ class Filters:
         """The language of each text and the share of its n-grams that the language explains."""
         hits, total, letters = self.counts(texts)
         share = (hits / np.maximum(total, 1)[:, None] - self.rate) / (1 - self.rate)
-        share = np.clip(share, 0, 1)
-        best = share.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
+        share = np.clip(np.round(share, 6), 0, 1)
+        best = (share + 1e-9 * self.usual).argmax(1) if len(self.languages) else np.zeros(len(texts), int)
         names = [self.languages[i] if ok and self.languages else UNKNOWN for i, ok in zip(best, letters, strict=True)]
         score = share[np.arange(len(texts)), best] if self.languages else np.zeros(len(texts))
         return names, np.where(letters, score, 0.0)
@@ -123,7 +124,7 @@ def learn_filters(labelled: DataFrame, per_language: int = 20_000, least: float
         raise ValueError(f"a mask has room for {MOST_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
-        return Filters([], np.zeros(SLOTS, np.int64), np.zeros(0))
+        return Filters([], np.zeros(SLOTS, np.int64), np.zeros(0), np.zeros(0))
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(int(min(1.0, per_language / counts[name]) * (1 << 30))))])
     sample = labelled.filter("lang is not null and text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")))
 
@@ -153,7 +154,8 @@ def learn_filters(labelled: DataFrame, per_language: int = 20_000, least: float
     masks = np.zeros(SLOTS, np.int64)
     masks[rows["slot"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
     fill = np.array([((masks >> b) & 1).mean() for b in range(len(languages))])
-    return Filters(languages, masks, fill**HASHES)
+    usual = np.array([counts[name] for name in languages], float)
+    return Filters(languages, masks, fill**HASHES, usual / usual.sum())
 
 
 def held_out(doc_id: Column) -> Column:

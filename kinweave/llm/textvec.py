@@ -26,6 +26,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: White space and every other ASCII character that is neither letter nor digit.
+_MARK = _SPACE.copy()
+_MARK[[c for c in range(128) if not chr(c).isalnum()]] = True
 _VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _LOWER_VALUE = _VALUE[_LOWER]
 
@@ -69,13 +72,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def _spans(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int]]:
+def _spans(data: np.ndarray, offs: np.ndarray, blank: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about CHUNK that never cut a word."""
     at, n = 0, len(data)
     while at < n:
         to = min(n, at + CHUNK)
         while to < n:
-            window = _SPACE[data[to : to + 4096]]
+            window = blank[data[to : to + 4096]]
             hits = np.flatnonzero(window)
             later = offs[np.searchsorted(offs, to, "left")]
             stop = min(to + hits[0] if len(hits) else n + 1, later)
@@ -98,17 +101,18 @@ class Words:
         return np.diff(self.first)
 
 
-def words(column: pa.Array) -> Words:
-    """Split every text at ASCII white space and hash the words with A-Z lower-cased."""
+def words(column: pa.Array, marks: bool = False) -> Words:
+    """Split every text at ASCII white space (with marks, at ASCII punctuation too) and hash the words with A-Z lower-cased."""
     data, offs = buffers(column)
-    return words_of(data, offs)
+    return words_of(data, offs, marks)
 
 
-def words_of(data: np.ndarray, offs: np.ndarray) -> Words:
+def words_of(data: np.ndarray, offs: np.ndarray, marks: bool = False) -> Words:
     starts, ends, hashes = [], [], []
-    for lo, hi in _spans(data, offs):
+    blank = _MARK if marks else _SPACE
+    for lo, hi in _spans(data, offs, blank):
         part = data[lo:hi]
-        space = _SPACE[part]
+        space = blank[part]
         solid = ~space
         opens = solid.copy()
         opens[1:] &= space[:-1]
