@@ -102,7 +102,7 @@ def indic(c: Column) -> Column:
 
 
 def indic_runs(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(filled(c), F.lit(lx.INDIC_RUN), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(filled(c), F.lit(lx.INDIC_RUN), F.lit(0)), lambda x: F.trim(x))
 
 
 # --- transliteration -------------------------------------------------------
@@ -227,7 +227,7 @@ def phonetic(c: Column) -> Column:
 
 
 def tidy_numbers(c: Column) -> Column:
-    """45th is 45, 0684 is 684, 110 001 is 110001."""
+    """45th is 45, 0684 is 684, 110 201 is 110201; zeros go before groups are joined."""
     c = F.regexp_replace(c, r"\b(\d+)(?:st|nd|rd|th)\b", "$1")
     return F.regexp_replace(F.regexp_replace(c, r"\b0+(\d)", "$1"), r"\b(\d{3}) (\d{3})\b", "$1$2")
 
@@ -350,3 +350,11 @@ def normalized_record(df, name: str = "business_name", address: str = "business_
     df = df.withColumns({"name_alt": alternate_name(F.col("name_n")), "name_core": core_name(F.col("name_n")), "is_web": is_web.cast("byte"), "is_indic": is_indic.cast("byte")})
     nums = number_words(F.col("addr_n"))
     return df.withColumns({"acronym": acronym(F.col("name_core")), "name_ph": phonetic(F.col("name_core")), "postal": postal(F.col("addr_n")), "first_num": first(nums), "nums": F.array_join(nums, " ")}).drop("__n", "__a")
+
+
+def encoder_tokens(c: Column, lo: int = 3, hi: int = 4, joined: bool = True) -> Column:
+    """Inputs of a hashed encoder: character n-grams in words, W with each word, and N with the joined text."""
+    parts = [char_wb(c, lo, hi), F.transform(words(F.lower(c)), lambda w: F.concat(F.lit("W"), w))]
+    if joined:
+        parts.append(F.array(F.concat(F.lit("N"), F.replace(F.lower(c), F.lit(" "), F.lit("")))))
+    return F.concat(*parts)

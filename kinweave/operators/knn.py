@@ -127,3 +127,19 @@ def cell_knn(queries: DataFrame, targets: DataFrame, k: int, cells: int = 64, pr
     found = exact_knn(left, right, k, ["cell"]).select("q", "t", "score")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 12).desc(), "t"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def vector_features(pairs: DataFrame, queries: DataFrame, targets: DataFrame, by: list[str], near: DataFrame | None = None) -> DataFrame:
+    """pairs (q, t) with dl_cos, dl_t_gap (the target's best similarity to any query minus dl_cos) and dl_nn_margin (dl_cos minus the target's similarity to the query's look-alike).
+
+    queries is (by..., q, v), targets (by..., t, v); near is (q, nn), 0 margin without.
+    """
+    best = exact_knn(targets.withColumnRenamed("t", "q"), queries.withColumnRenamed("q", "t"), 1, by).select(F.col("q").alias("t"), F.col("score").alias("__best"))
+    df = pairs.join(queries.select("q", F.col("v").alias("__qv")), "q").join(targets.select("t", F.col("v").alias("__tv")), "t").join(best, "t", "left")
+    df = df.withColumn("dl_cos", dot(F.col("__qv"), F.col("__tv"))).withColumn("dl_t_gap", F.coalesce(F.col("__best") - F.col("dl_cos"), F.lit(0.0)))
+    if near is not None:
+        other = near.join(queries.select(F.col("q").alias("nn"), F.col("v").alias("__nv")), "nn").select("q", "__nv")
+        df = df.join(other, "q", "left").withColumn("dl_nn_margin", F.coalesce(F.col("dl_cos") - dot(F.col("__nv"), F.col("__tv")), F.lit(0.0))).drop("__nv")
+    else:
+        df = df.withColumn("dl_nn_margin", F.lit(0.0))
+    return df.drop("__qv", "__tv", "__best")

@@ -47,7 +47,7 @@ def parse_check(spark: SparkSession, path: str) -> DataFrame:
 
 def parsed_ids(listed) -> F.Column:
     """Ids of a comma-joined list: trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), ",", -1), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(listed, F.lit("")), ",", -1), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
