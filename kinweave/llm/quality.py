@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import OWN, without
+from .shared import OWN, small_batches, without
 
 #: Kinds of bytes: lower case, upper case, digits, blanks, line ends, single marks, other ASCII, beyond ASCII.
 _MARKS = b".,;:!?'\"-()|#$%&*"
@@ -99,9 +99,10 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> Logistic:
-        mean, scale = x.mean(0), x.std(0)
+        mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float)
         scale = np.where(scale > 1e-9, scale, 1)
-        z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+        z = np.ones((len(x), x.shape[1] + 1))
+        np.divide(np.subtract(x, mean, out=z[:, :-1]), scale, out=z[:, :-1])
         w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
         penalty[-1] = 1e-6
         for _ in range(steps):
@@ -205,17 +206,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **opti
     Which rows are taken depends on a hash of doc_id alone. Labels of null
     doc_id or quality, and repeats of a doc_id, are ignored.
     """
+    small_batches(docs.sparkSession)
     marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     one = 1 << 30
     part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(one)) < int(min(1.0, sample / max(1, n)) * one)
     marked = marked.filter(part(labels.count(), 1))
     chosen = docs.drop("label").join(F.broadcast(marked), "doc_id", "left").filter(F.col("label").isNotNull() | part(docs.count(), 2))
-    rows = _features(chosen).orderBy("doc_id").toPandas()
-    if not len(rows):
+    rows = _features(chosen).orderBy("doc_id").toArrow().combine_chunks()
+    if not rows.num_rows:
         return None
-    t, m = np.array(rows["t"].tolist(), float), np.array(rows["m"].tolist(), float)
-    known = rows["label"].notna().to_numpy()
-    y = rows["label"][known].to_numpy(float)
+    # flat buffers, never lists of numbers: the sample is all that the driver holds
+    t, m = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("t", "m"))
+    known = rows.column("label").is_valid().to_numpy(zero_copy_only=False)
+    y = rows.column("label").drop_null().to_numpy().astype(float)
     if len(y) < 8 or y.min() == y.max() or len(np.unique(y[3::4])) < 2:
         return None
     return co_train(t[known], m[known], y, t[~known], m[~known], **options)
@@ -231,6 +234,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0
     like the added ones are replaced.
     """
     docs = without(docs, _ADDED)
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("p_text double, p_meta double, score double")
