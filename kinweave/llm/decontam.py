@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import LOWEST, OWN, stage
+from .shared import LOWEST, OWN, small_batches, stage
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the filter: 16 for each seed, within these bounds (128 KB and 64 MB).
@@ -112,6 +112,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6
     empty table on either side gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = items.withColumn("text", F.lower("text"))
     seeds = stage(item_seeds(items, n), "seeds")
     unique = seeds.select("hash").distinct()

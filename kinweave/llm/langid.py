@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import small_batches
 
 #: Languages in a mask; slots of the filter; slots per n-gram; code points per n-gram.
 MOST_LANGUAGES, SLOTS, HASHES, N = 63, 1 << 20, 3, 3
@@ -119,6 +120,7 @@ def learn_filters(labelled: DataFrame, per_language: int = 20_000, least: float
     language's n-grams in the sample. Rows of null text or lang are not learned
     from; an empty table gives filters that answer `und`.
     """
+    small_batches(labelled.sparkSession)
     counts = {r["lang"]: r["count"] for r in labelled.filter("lang is not null and text is not null").groupBy("lang").count().collect()}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"a mask has room for {MOST_LANGUAGES} languages")
@@ -165,6 +167,7 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     """docs with lang_pred and score (0 to 1); null texts and texts without a letter get `und` and 0. Columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWEST, OWN, stage, without
+from .shared import LOWEST, OWN, small_batches, stage, without
 
 BLANK = " \t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -102,6 +102,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     line and stays null. Columns of docs named like the added ones are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, _ADDED).withColumn(f"{OWN}d", F.coalesce("doc_id", F.lit(LOWEST)))
     lines = F.split(F.col("text"), "\n", -1)
     hashed = F.transform(F.filter(F.transform(lines, line_key), lambda k: F.length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))

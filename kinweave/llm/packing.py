@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import stage
+from .shared import small_batches, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
 
 

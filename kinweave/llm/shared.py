@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), f"kinweave-{os.getpid()}")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let fewer texts at a time go to Python workers, unless the session sets its own number.
+
+    Spark's default is 10,000 rows whatever their size: tens of megabytes of
+    ordinary documents, held several times over on their way.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"

@@ -142,11 +142,18 @@ class Encoder:
         if spec["model"]["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError(f"{path} is not a plain byte-level BPE file")
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in specials}
-        self.direct = Tokenizer.from_file(path)
-        self.direct.encode_special_tokens = True
+        self.path, self._direct = path, None
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._reset()
 
+    @property
+    def direct(self) -> Tokenizer:
+        """The tokenizer itself, loaded when a text first needs it."""
+        if self._direct is None:
+            self._direct = Tokenizer.from_file(self.path)
+            self._direct.encode_special_tokens = True
+        return self._direct
+
     def _reset(self) -> None:
         self.table = HashIndex(CACHE)
         self.begin = np.zeros(1, np.int64)
