@@ -51,7 +51,7 @@ def _histogram(slim: DataFrame, bh: np.ndarray, bd: np.ndarray) -> pd.DataFrame:
 
     parts = slim.mapInPandas(count, "bucket long, bytes long, n long, h0 long, h1 long, d0 long, d1 long")
     out = parts.groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.min("h0").alias("h0"), F.max("h1").alias("h1"), F.min("d0").alias("d0"), F.max("d1").alias("d1"))
-    return out.toPandas().set_index("bucket").reindex(range(len(bh) + 1))
+    return out.toPandas().set_index("bucket").reindex(range(len(bh) + 1), fill_value=0)  # whole numbers stay whole
 
 
 def find_splitters(slim: DataFrame, shares: int, per_shard: int, tolerance: float, group_tolerance: float, probes: int, rounds: int) -> dict[str, np.ndarray]:
@@ -62,7 +62,7 @@ def find_splitters(slim: DataFrame, shares: int, per_shard: int, tolerance: floa
     bh, bd = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for last in range(rounds, -1, -1):
         x = _histogram(slim, bh, bd)
-        size, n = x["bytes"].fillna(0).to_numpy(np.int64), x["n"].fillna(0).to_numpy(np.int64)
+        size, n = x["bytes"].to_numpy(np.int64), x["n"].to_numpy(np.int64)
         below, rows = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(n)])
         keys = {(int(h), int(d)) for h, d in zip(bh, bd, strict=True)}
         chosen, more = [], set()

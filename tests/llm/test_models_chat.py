@@ -30,7 +30,7 @@ def test_co_training_exchanges_labels():
     y = rng.integers(0, 2, 4000)
     view = lambda: np.column_stack([y * 3.0 + rng.standard_normal(4000), rng.standard_normal(4000)])
     a, b = view(), view()
-    model = quality.co_train(a[:200], b[:200], y[:200], a[200:2000], b[200:2000])
+    model = quality.co_train(a[:800], b[:800], y[:800], a[800:2000], b[800:2000])
     assert model.exchanged[0][0] > 0 and model.exchanged[0][1] > 0
     p = model.score(a[2000:], b[2000:])
     right = [((x > 0.5) == y[2000:]).mean() for x in p]
