@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import LOWEST, OWN, components, stage, without
+from .shared import LOWEST, OWN, components, small_batches, stage, without
 
 #: Parts that the sketch is merged in.
 PARTS = 64
@@ -162,15 +162,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     reachable by links, n_links counts distinct other sets whose links were
     verified one by one or span a block (at least one if there are any).
 
-    Null or empty texts have no shingles and stand alone (a null doc_id stays
-    null and counts as the smallest); rows of equal sets are one row of the
-    matrix; rows that repeat a doc_id are told apart by their sets. Sets are
+    Null or empty texts have no shingles and stand alone; rows of equal sets are
+    one row of the matrix; rows that repeat a doc_id are one document, with the
+    size of its largest set and the smallest component of any; null is a doc_id
+    like others, and the smallest (as component_id it stays null). Sets are
     told apart by two 64-bit hashes, shingles by one. `few`, `block`,
     `block_columns` and `slots` steer the work alone: none drops a link.
     """
     added = ("n_shingles", "component_id", "n_links")
     docs = without(docs, added)
     spark = docs.sparkSession
+    small_batches(spark)
     rank = spark.sparkContext.broadcast(column_rank(column_sketch(docs, n, slots)))
     mask = tv.U(slots - 1)
 
@@ -277,6 +279,6 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
     named = reps.select("rep", "n", "s1", "s2").join(joined, reps["rep"] == joined["node"], "left").join(degree, reps["rep"] == degree["a"], "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classes = solid.select("doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).groupBy("doc").agg(F.first("n").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
+    classes = solid.select("doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
     out = docs.withColumn(f"{OWN}d", F.coalesce("doc_id", F.lit(LOWEST))).join(classes, F.col(f"{OWN}d") == F.col("doc"), "left")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.coalesce("component_id", f"{OWN}d") != LOWEST, F.coalesce("component_id", f"{OWN}d")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
