@@ -47,41 +47,60 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.
             yield batch.slice(lo, rows)
 
 
-def column_sketch(docs: DataFrame, n: int, slots: int) -> np.ndarray:
-    """Documents that hold each column, added up in hash(column) mod slots; merged part by part."""
+def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
+    """Frequency class, one byte, of every slot hash(column) mod slots.
+
+    Documents that hold a column are counted per slot, over all documents, and
+    the counts are merged part by part; only the classes reach the driver.
+    """
+    width = slots // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(slots, np.uint32), False
+        total, seen, held, size = np.zeros(slots, np.uint32), False, [], 0
+
+        def fold() -> None:
+            nonlocal held, size
+            if held:
+                slot, times = np.unique((np.concatenate(held) & tv.U(slots - 1)).astype(np.uint32), return_counts=True)
+                total[slot] += times.astype(np.uint32)
+            held, size = [], 0
+
         for batch in _slices(batches):
             seen = True
-            sets = [s for s in _sets(batch, n) if len(s)]
-            if sets:
-                total += np.bincount((np.concatenate(sets) & tv.U(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint32)
+            for s in _sets(batch, n):
+                held.append(s)
+                size += len(s)
+            if size > 1 << 20:
+                fold()
+        fold()
         if seen:
-            width = slots // PARTS
             packed = [pa.compress(total[p * width : (p + 1) * width].tobytes(), codec="zstd", asbytes=True) for p in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
 
-    width = slots // PARTS
-
     def add(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(width, np.uint64)
         for pdf in parts:
             for blob in pdf["counts"]:
                 total += np.frombuffer(pa.decompress(blob, decompressed_size=4 * width, codec="zstd"), np.uint32)
-        yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+        yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()], "total": [float(total.sum())]})
+
+    parts = stage(docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary, total double"), "sketch")
+    usual = (parts.agg(F.sum("total")).first()[0] or 0.0) / slots
+
+    def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf["ranks"] = [column_rank(np.frombuffer(x, np.uint64), usual).tobytes() for x in pdf["counts"]]
+            yield pdf[["part", "ranks"]]
 
-    found = docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    out = np.zeros((PARTS, width), np.uint64)
-    for row in found:
-        out[row["part"]] = np.frombuffer(row["counts"], np.uint64)
+    out = np.zeros((PARTS, width), np.uint8)
+    for row in parts.mapInPandas(classes, "part int, ranks binary").toLocalIterator():
+        out[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
     return out.reshape(-1)
 
 
-def column_rank(sketch: np.ndarray) -> np.ndarray:
-    """Frequency class per slot: 0 up to the usual load, then one more per doubling."""
-    usual = max(1.0, float(sketch.mean()))
-    return np.maximum(0, np.floor(np.log2(sketch / (2 * usual) + 1e-9)) + 1).astype(np.uint8)
+def column_rank(counts: np.ndarray, usual: float) -> np.ndarray:
+    """Frequency class of counts: 0 up to the usual load, then one more per doubling."""
+    return np.maximum(0, np.floor(np.log2(counts / (2 * max(1.0, usual)) + 1e-9)) + 1).astype(np.uint8)
 
 
 def _meets(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -173,7 +192,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     docs = without(docs, added)
     spark = docs.sparkSession
     small_batches(spark)
-    rank = spark.sparkContext.broadcast(column_rank(column_sketch(docs, n, slots)))
+    rank = spark.sparkContext.broadcast(column_ranks(docs, n, slots))
     mask = tv.U(slots - 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
