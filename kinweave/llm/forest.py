@@ -80,13 +80,15 @@ def usable(vector) -> F.Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64, share: float = 0.45, segment_rows: int = 8192, query_rows: int = 4096, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, trees: int = 64, share: float = 0.75, segment_rows: int = 8192, query_rows: int = 4096, seed: int = 7) -> DataFrame:
     """The k nearest of `vectors` found for each row of `queries`, the row itself apart: query_id, rank, vec_id, score.
 
     Both have vec_id and an array of numbers `embedding`. Nearness is the inner
     product in double precision, ties go to the smaller vec_id. share is how
     many entries the trees of a segment must offer together, in terms of its
     rows: the recall's knob (a vector offered by several trees counts each time).
+    Prefixes have whole lengths, so the offer moves in steps of two: with 64
+    trees, shares of about 0.55 to 0.95 all give about one entry per row.
 
     Vectors null, zero or with null or non-finite components take no part, nor
     do rows of null vec_id. Vectors of another length than the query's are not
