@@ -11,8 +11,10 @@ number of counters, which decides only the order, never the result.
   the products are accumulated per pair, and pairs below the bound are dropped.
 - Rows that share columns held by many rows form crowds. A crowd is cut into
   blocks by size band and hash; blocks of compatible bands are multiplied in
-  memory, and only edges that span the links found are returned, so a group of
-  copies never becomes a list of pairs.
+  memory, and only edges that span the links found are returned, with the number
+  of links of each row, so a group of copies never becomes a list of pairs. Any
+  two rows of a crowd that may link meet in one product, so pairs within a crowd
+  are left out of the other route.
 
 What is left is verified on the whole sets.
 """
@@ -178,15 +180,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     document's set holds its distinct n-word shingles, or with fewer words the
     whole sequence as one. Documents link when
     100 * intersection >= percent * union; component_id is the smallest doc_id
-    reachable by links, n_links counts distinct other sets whose links were
-    verified one by one or span a block (at least one if there are any).
+    reachable by links, n_links counts the distinct other sets that the
+    document's set links with.
 
     Null or empty texts have no shingles and stand alone; rows of equal sets are
     one row of the matrix; rows that repeat a doc_id are one document, with the
     size of its largest set and the smallest component of any; null is a doc_id
     like others, and the smallest (as component_id it stays null). Sets are
     told apart by two 64-bit hashes, shingles by one. `few`, `block`,
-    `block_columns` and `slots` steer the work alone: none drops a link.
+    `block_columns` and `slots` steer the work alone: none drops a link or
+    changes a result.
     """
     added = ("n_shingles", "component_id", "n_links")
     docs = without(docs, added)
@@ -223,16 +226,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     must = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
     many = entries.filter(F.col("held") > few)
-    crowded = many.select("rep").distinct().withColumn("crowded", F.lit(True))
+    centre = many.groupBy("col").agg(F.min("rep").alias("centre"))
+    crowds = stage(components(many.join(centre, "col").select("rep", "centre").distinct(), "rep", "centre").select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds")
     lists = entries.filter(F.col("held") <= few).withColumn("must", must).groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must"))).alias("r"))
     ordered = lists.select("r", F.posexplode("r").alias("i", "a"))
     ordered = ordered.select("a", F.explode(F.filter(F.expr("slice(r, i + 2, size(r))"), lambda b: b["n"] * percent <= F.col("a.n") * 100)).alias("b"))
     shared = ordered.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least(F.lit(depth), "a.must", "b.must")).alias("least"))
-    pairs = shared.join(crowded.withColumnsRenamed({"rep": "a", "crowded": "ca"}), "a", "left").join(crowded.withColumnsRenamed({"rep": "b", "crowded": "cb"}), "b", "left")
-    pairs = stage(pairs.filter("shared >= least or (ca and cb)").select("a", "b"), "pairs")
+    # rows of different crowds share no column of many rows, so all that they share is counted here
+    pairs = shared.filter("shared >= least").join(crowds.withColumnsRenamed({"rep": "a", "crowd": "ca"}), "a", "left").join(crowds.withColumnsRenamed({"rep": "b", "crowd": "cb"}), "b", "left")
+    pairs = stage(pairs.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "pairs")
 
     # whole sets of the rows that are left
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(crowded.select("rep")).distinct()
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
     wanted = reps.join(wanted, reps["rep"] == F.col("doc"), "left_semi").select("rep", "n", F.col("s1").alias("w1"), F.col("s2").alias("w2"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,14 +260,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     one = sets.select(F.col("rep").alias("a"), F.col("set").alias("sa"))
     two = sets.select(F.col("rep").alias("b"), F.col("set").alias("sb"))
-    links = pairs.join(one, "a").join(two, "b").filter(linked("sa", "sb")).select("a", "b")
+    links = pairs.join(one, "a").join(two, "b").filter(linked("sa", "sb")).select("a", "b", F.lit(1).cast("long").alias("n_links"))
 
     # crowds: bands of size, blocks in a band, and products of blocks that may hold links
-    centre = many.groupBy("col").agg(F.min("rep").alias("centre"))
-    crowds = components(many.join(centre, "col").select("rep", "centre").distinct(), "rep", "centre")
     width = -math.log(percent / 100) * 1.001 if percent < 100 else 1e-9
-    banded = reps.select("rep", "n").join(crowds, F.col("rep") == F.col("node")).select("rep", "n", F.col("component").alias("crowd"), F.floor(F.log(F.col("n").cast("double")) / width).alias("band"))
-    banded = stage(banded, "crowds")
+    banded = reps.select("rep", "n").join(crowds, "rep").select("rep", "n", "crowd", F.floor(F.log(F.col("n").cast("double")) / width).alias("band"))
+    banded = stage(banded, "bands")
     per = banded.groupBy("crowd", "band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_columns)).cast("int").alias("blocks"))
     above = per.select("crowd", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = per.select("crowd", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -289,13 +292,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
             i, j = product_links(left, right, percent) if left and right else (np.zeros(0, np.int64), np.zeros(0, np.int64))
             j = j + len(left)
             names = np.concatenate([first["rep"].to_numpy(), second["rep"].to_numpy()])
+        # a spanning edge counts no links: rows (x, x) hold those of x in this product
         kept = _spanning(len(names), i, j)
-        return pd.DataFrame({"a": [names[x] for x, _ in kept], "b": [names[y] for _, y in kept]}, dtype="int64")
-
-    spans = tasks.groupBy("crowd", "x", "i", "y", "j").applyInPandas(multiply, "a long, b long")
-    edges = stage(links.unionByName(spans).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    joined = components(edges)
-    degree = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
+        each = np.bincount(np.concatenate([i, j]), minlength=len(names))
+        some = np.flatnonzero(each)
+        a, b = [np.concatenate([names[[k[side] for k in kept]] if kept else names[:0], names[some]]) for side in (0, 1)]
+        return pd.DataFrame({"a": a, "b": b, "n_links": np.concatenate([np.zeros(len(kept), np.int64), each[some]])}, dtype="int64")
+
+    spans = tasks.groupBy("crowd", "x", "i", "y", "j").applyInPandas(multiply, "a long, b long, n_links long")
+    edges = stage(links.unionByName(spans), "links")
+    joined = components(edges.filter("a <> b"))
+    degree = edges.select("a", "n_links").union(edges.filter("a <> b").select("b", "n_links")).groupBy("a").agg(F.sum("n_links").alias("n_links"))
     named = reps.select("rep", "n", "s1", "s2").join(joined, reps["rep"] == joined["node"], "left").join(degree, reps["rep"] == degree["a"], "left")
     named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     classes = solid.select("doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
