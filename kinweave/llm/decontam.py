@@ -1,16 +1,21 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are the word n-grams of the test items. Documents are searched for them
-through a Bloom filter of bounded size, so that only the few places that may
-hold a seed move; an exact join on the seeds' hashes follows. Seeds are ranked
-by how many documents hold them: a common seed takes part only where it is
-among the rarer half of its item, so no frequent phrase meets many items. Hits
-of one item that lie close together make a window, and the words of window and
-item are aligned.
+An alignment that reaches the wanted score holds a known number of seeds (pairs
+of neighbouring words, or single words for short items): inserted, deleted and
+replaced words are paid for out of one budget, and cannot break more pairs than
+it buys. Half of that number is given up for the commonest seeds of each item,
+so only its rarer seeds are searched for, and a place is aligned if it holds
+the rest of the number. How common a seed is only decides which seeds these
+are: nothing that reaches the score is lost, whatever the corpus.
+
+Documents are read twice through a Bloom filter of bounded size: once to count
+the seeds, once to find the places of the rarer ones. Hits of one item that lie
+close together make a window, and the words of window and item are aligned.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import LOWEST, OWN, small_batches, stage
+from .shared import OWN, HashFilter, released, small_batches, stage, text_key
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Bits of the filter: 16 for each seed, within these bounds (128 KB and 64 MB).
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 29
+#: Seeds are broadcast to their places up to so many rows of 40 bytes; beyond, they are joined in SALTS shares.
+BROADCAST_SEEDS, SALTS = 500_000, 16
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -55,144 +60,201 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return (best, int(base - 1 - at), end) if best else (0, 0, 0)
 
 
-def _words(batch: pa.RecordBatch, n: int) -> tuple[tv.Words, np.ndarray, np.ndarray]:
-    w = tv.words(batch.column("text"), marks=True)
-    return w, *tv.ngrams(w, n)
+def seed_plan(words: int, least: float) -> tuple[int, int, int]:
+    """(n, given, span) for an item: words in a seed, how many of its commonest seeds need not be searched, and how many an alignment still holds.
+
+    With m matching words and e others, a score of `least` means
+    2m - e >= 2 * least * words and m <= words. The m matches lie in at most
+    e + 1 runs, so at least m - e - 1 pairs of neighbouring matches remain,
+    which is least at m = words. If that leaves no pair, single words are the
+    seeds, of which at least `least` * words match. An alignment spans at most
+    words + 2 * (1 - least) * words words of the document.
+    """
+    edits = math.floor(2 * words - 2 * least * words + 1e-9)
+    pairs, single = words - edits - 1, max(1, math.ceil(least * words - 1e-9))
+    n, held = (2, pairs) if pairs >= 1 else (1, single)
+    given = held // 2
+    return n, given, held - given
+
+
+def _span(words: int, least: float) -> int:
+    return words + math.floor(2 * words - 2 * least * words + 1e-9)
 
 
-def item_seeds(items: DataFrame, n: int) -> DataFrame:
-    """(item_id, n_words, hash, at): every n-gram of every item; a shorter item is one seed."""
+def _keyed_items(items: DataFrame, least: float) -> DataFrame:
+    """Distinct (item_id, text) with a number of their own, their words, and their seeds' plan; items without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w, g, first = _words(batch, n)
-            each = np.diff(first)
-            row = np.repeat(np.arange(batch.num_rows), each)
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(row)), pa.array(w.counts[row]), pa.array(g.view(np.int64)), pa.array(np.arange(len(g)) - first[row])], names=["item_id", "n_words", "hash", "at"])
+            w = tv.words(batch.column("text"), marks=True)
+            counts = w.counts
+            kept = np.flatnonzero(counts)
+            plans = [seed_plan(int(counts[i]), least) for i in kept]
+            columns = [batch.column("item").take(pa.array(kept)), batch.column("item_id").take(pa.array(kept)), pa.array(counts[kept], pa.int64())]
+            columns += [pa.array([p[k] for p in plans], pa.int32()) for k in range(3)] + [pa.array([_span(int(counts[i]), least) for i in kept], pa.int64())]
+            columns.append(pa.array([w.hash[w.first[i] : w.first[i + 1]].tobytes() for i in kept], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["item", "item_id", "n_words", "n", "given", "needed", "span", "words"])
 
-    return items.select(F.coalesce("item_id", F.lit(LOWEST)).alias("item_id"), "text").mapInArrow(run, "item_id long, n_words long, hash long, at long")
+    slim = items.select("item_id", F.lower("text").alias("text")).distinct().withColumn("item", F.monotonically_increasing_id())
+    return stage(slim.select("item", "item_id", "text").mapInArrow(run, "item long, item_id long, n_words long, n int, given int, needed int, span long, words binary"), "items")
 
 
-def _filter_bits(hashes: DataFrame, count: int) -> np.ndarray:
-    """Bloom filter with two positions per hash, as packed bits; its parts come from the executors."""
-    bits = int(min(MOST_BITS, max(LEAST_BITS, 1 << (16 * max(1, count)).bit_length())))
+def _grams(w: tv.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams, the n-grams of a document of fewer words left out, and where each document's begin."""
+    g, first = tv.ngrams(w, n)
+    short = (w.counts > 0) & (w.counts < n)
+    if short.any():
+        g = g.copy()
+        g[first[:-1][short]] = tv.U(0)
+    return g, first
 
-    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def item_seeds(keyed: DataFrame) -> DataFrame:
+    """(item, hash, at): every seed of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("hash").to_numpy().view(np.uint64)
-            at = np.concatenate([h & tv.U(bits - 1), (h >> tv.U(32)) & tv.U(bits - 1)]).astype(np.int64)
-            byte, where = np.unique(at >> 3, return_inverse=True)
-            mask = np.zeros(len(byte), np.uint8)
-            np.bitwise_or.at(mask, where, (1 << (at & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(byte), pa.array(mask.astype(np.int32))], names=["byte", "mask"])
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for item, n, blob in zip(batch.column("item").to_pylist(), batch.column("n").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                h = np.frombuffer(blob, np.uint64)
+                g, _ = tv.ngrams(tv.Words(np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), h, np.array([0, len(h)])), n)
+                out.append((np.full(len(g), item, np.int64), g.view(np.int64), np.arange(len(g))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["item", "hash", "at"])
 
-    rows = hashes.mapInArrow(positions, "byte long, mask int").groupBy("byte").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(bits >> 3, np.uint8)
-    out[rows["byte"].to_numpy()] = rows["mask"].to_numpy().astype(np.uint8)
-    return out
+    return keyed.select("item", "n", "words").mapInArrow(run, "item long, hash long, at long")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, n: int = 3, least: float = 0.6, common: float = 0.001) -> DataFrame:
-    """Passages of test items in documents: (doc_id, item_id, score, start, end, n_words), one per document and item.
+def find_leaks(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:
+    """Passages of test items in documents: (doc_id, item_id, score, start, end, n_words), one row per document and item.
 
     docs has doc_id and text, items item_id and text. Words are runs of
-    lower-cased text between ASCII white space or punctuation. The score is the Smith-Waterman
-    score (match 2, others -1) over twice the item's words: 1 for an exact
-    copy, 0.85 if one word in ten is replaced; passages from `least` count.
-    start and end are word positions in the document.
-
-    Seeds held by at most 20 documents or a share `common` of them take part,
-    and the rarer half of every item's seeds whatever their number. Where all
-    seeds of an item of 20 words or more take part, a neighbourhood needs two
-    of them: at score 0.6 and three-word seeds, replaced words cannot leave
-    fewer. Otherwise one is enough.
-
-    Null and empty texts hold nothing; an item of fewer than n words is one
-    seed; null ids count as ids; rows that repeat a doc_id share its result; an
-    empty table on either side gives no rows.
+    lower-cased text between ASCII white space or punctuation. The score is the
+    Smith-Waterman score (match 2, others -1) over twice the item's words: 1 for
+    an exact copy, 0.85 if one word in ten is replaced; passages from `least`
+    count, and every one of them is found (see seed_plan). start and end are
+    word positions in the document. An item of a single word is found wherever
+    the word is.
+
+    Null and empty texts hold nothing, and items without words are in nothing;
+    null ids are ids of their own. Rows that repeat an item_id are looked for
+    one by one, and rows that repeat a doc_id searched one by one; of one
+    doc_id and item_id the best score is returned (of equal ones the smallest
+    start, then the smallest end). An empty table on either side gives no rows;
+    other columns are not read.
     """
+    best = _leaks(docs, items, least)
+    return best.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", (-F.col("start")).alias("start"), (-F.col("end")).alias("end"), "n_words")).alias("m")).select("doc_id", "item_id", "m.score", (-F.col("m.start")).alias("start"), (-F.col("m.end")).alias("end"), "m.n_words")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """(doc_id, key, item_id, score, start, end, n_words) per different (doc_id, text) and item row that reach the score."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = items.withColumn("text", F.lower("text"))
-    seeds = stage(item_seeds(items, n), "seeds")
+    keyed_items = _keyed_items(items, least)
+    sizes = {r["n"] for r in keyed_items.select("n").distinct().collect()}
+    seeds = stage(item_seeds(keyed_items), "seeds")
     unique = seeds.select("hash").distinct()
-    bits = spark.sparkContext.broadcast(_filter_bits(unique, unique.count()))
+    all_seeds = spark.sparkContext.broadcast(HashFilter.of(unique, unique.count()))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = bits.value
-        mask = tv.U(len(held) * 8 - 1)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
 
-        def has(p: np.ndarray) -> np.ndarray:
-            p = (p & mask).astype(np.int64)
-            return (held[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
+        def fold() -> pa.RecordBatch:
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "times"])
+
+        for batch in batches:
+            w = tv.words(batch.column("text"), marks=True)
+            for n in sizes:
+                g = _grams(w, n)[0]
+                held.append(g[all_seeds.value.places(g)])
+                size += len(held[-1])
+            if size > 1 << 18:
+                yield fold()
+                held, size = [], 0
+        if held:
+            yield fold()
+        released()
+
+    texts = docs.select(F.lower("text").alias("text"))
+    times = texts.mapInArrow(count, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times"))
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("times", F.lit(0)).desc(), "hash", "at")
+    rare = seeds.join(times, "hash", "left").withColumn("nth", F.row_number().over(rarest)).join(keyed_items.select("item", "given", "needed", "span"), "item").filter("nth > given and times > 0")
+    rare = stage(rare.select("hash", "item", "needed", "span").distinct(), "rare")
+    searched = rare.select("hash").distinct()
+    held = spark.sparkContext.broadcast(HashFilter.of(searched, searched.count()))
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                _, g, first = _words(part, n)
-                at = np.flatnonzero(has(g))
-                at = at[has(g[at] >> tv.U(32))]
+            w = tv.words(batch.column("text"), marks=True)
+            for n in sizes:
+                g, first = _grams(w, n)
+                at = held.value.places(g)
                 row = np.searchsorted(first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(g[at].view(np.int64)), pa.array(at - first[row])], names=["doc", "hash", "pos"])
-
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.lower("text").alias("text"))
-    places = stage(keyed.mapInArrow(search, "doc long, hash long, pos long").join(unique, "hash", "left_semi"), "places")
-    total = keyed.count()
-    held = places.select("hash", "doc").distinct().groupBy("hash").agg(F.count("*").alias("held"))
-    ranked = seeds.join(held, "hash", "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    by = Window.partitionBy("item_id")
-    ranked = ranked.withColumn("half", F.row_number().over(by.orderBy("held", "hash", "at")) * 2 <= F.count("*").over(by) + 1)
-    ranked = ranked.withColumn("in", F.col("half") | (F.col("held") <= F.greatest(F.lit(20.0), F.lit(common * total))))
-    ranked = ranked.withColumn("single", (F.col("n_words") < 20) | ~F.min("in").over(by) | F.lit(n > 3) | F.lit(least < 0.6))
-    slim = ranked.filter("in and held > 0").select("hash", "item_id", "n_words", "single").distinct()
-    hits = places.join(slim, "hash").select("doc", "item_id", "n_words", "pos", "single")
-    # neighbourhoods: hits of an item that are at most an item's length apart
-    w = Window.partitionBy("doc", "item_id").orderBy("pos")
-    chained = hits.distinct().withColumn("new", (F.col("pos") - F.lag("pos").over(w) > F.col("n_words")).cast("int")).withColumn("area", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    # an area longer than four items is cut at fixed places that overlap by more than an item
-    areas = chained.groupBy("doc", "item_id", "n_words", "area").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count_distinct("pos").alias("hits"), F.max("single").alias("single")).filter("single or hits > 1")
-    stride = F.col("n_words") * 2 + 8
-    cut = areas.select("doc", "item_id", "lo", "hi", "n_words", F.explode(F.sequence(F.lit(0), ((F.col("hi") - F.col("lo")) / stride).cast("int"))).alias("k"))
-    cut = cut.select("doc", "item_id", (F.col("lo") + F.col("k") * stride - F.col("n_words")).alias("lo"), (F.least("hi", F.col("lo") + (F.col("k") + 1) * stride) + F.col("n_words") * 2 + n).alias("hi"))
-    windows = cut.groupBy("doc").agg(F.collect_list(F.struct("item_id", "lo", "hi")).alias("windows"))
-
-    texts = items.select(F.coalesce("item_id", F.lit(LOWEST)).alias("item_id"), F.col("text").alias("item")).dropDuplicates(["item_id"])
+                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(g[at].view(np.int64)), pa.array(at - first[row])], names=["key", "hash", "pos"])
+        released()
+
+    keyed = docs.select("doc_id", text_key("doc_id", "text").alias("key"), F.lower("text").alias("text"))
+    places = keyed.select("key", "text").mapInArrow(search, "key binary, hash long, pos long")
+    if rare.count() <= BROADCAST_SEEDS:
+        hits = places.join(F.broadcast(rare), "hash")
+    else:
+        shares = rare.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hits = places.withColumn("salt", F.pmod(F.xxhash64("key", "pos"), F.lit(SALTS)).cast("int")).join(shares, ["hash", "salt"])
+    hits = hits.select("key", "item", "needed", "span", "pos").distinct()
+    # neighbourhoods: hits of an item that one alignment may hold
+    w = Window.partitionBy("key", "item").orderBy("pos")
+    chained = hits.withColumn("new", (F.col("pos") - F.lag("pos").over(w) > F.col("span")).cast("int")).withColumn("area", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    areas = chained.groupBy("key", "item", "needed", "span", "area").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("hits")).filter("hits >= needed")
+    # a long area is cut; each piece holds whatever an alignment with a hit in it may hold
+    stride = F.col("span") * 2 + 8
+    cut = areas.select("key", "item", "lo", "hi", "span", F.explode(F.sequence(F.lit(0), ((F.col("hi") - F.col("lo")) / stride).cast("int"))).alias("k"))
+    cut = cut.select("key", "item", (F.col("lo") + F.col("k") * stride - F.col("span")).alias("lo"), (F.least("hi", F.col("lo") + (F.col("k") + 1) * stride) + F.col("span") + 2).alias("hi"))
+    windows = stage(cut.groupBy("key").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("windows")), "windows")
+
+    # only documents that may have a window move
+    here = windows.select(F.xxhash64("key").alias("hash")).distinct()
+    wanted = spark.sparkContext.broadcast(HashFilter.of(here, here.count()))
+
+    @F.pandas_udf("boolean")
+    def may(hashes: pd.Series) -> pd.Series:
+        out = np.zeros(len(hashes), bool)
+        out[wanted.value.places(hashes.to_numpy(np.int64).view(np.uint64))] = True
+        return pd.Series(out)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                w = tv.words(part.column("text"), marks=True)
-                out: list[tuple] = []
-                for i, (doc, spots) in enumerate(zip(part.column("doc").to_pylist(), part.column("windows").to_pylist(), strict=True)):
-                    words = w.hash[w.first[i] : w.first[i + 1]]
-                    for s in spots:
-                        a, b = max(0, s["lo"]), min(len(words), s["hi"])
-                        out.append((doc, s["item_id"], a, words[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc", "item_id", "lo", "words"])
-
-    found = keyed.join(windows, "doc").select("doc", "text", "windows").mapInArrow(extract, "doc long, item_id long, lo long, words binary")
-
-    @F.pandas_udf("score double, start long, end long, n_words long")
+            w = tv.words(batch.column("text"), marks=True)
+            out: list[tuple] = []
+            for i, (doc, key, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "windows")), strict=True)):
+                words = w.hash[w.first[i] : w.first[i + 1]]
+                for s in spots:
+                    a, b = max(0, s["lo"]), min(len(words), s["hi"])
+                    out.append((doc, key, s["item"], a, words[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "item", "lo", "here"])
+        released()
+
+    moved = keyed.filter(F.col("text").isNotNull() & may(F.xxhash64("key"))).join(windows, "key")
+    found = moved.select("doc_id", "key", "text", "windows").mapInArrow(extract, "doc_id long, key binary, item long, lo long, here binary")
+
+    @F.pandas_udf("score double, start long, end long")
     def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for windows, items in parts:
-            known: dict[str, np.ndarray] = {}
+        for windows, words in parts:
             rows = []
-            for blob, item in zip(windows, items, strict=True):
-                if item not in known:
-                    known[item] = tv.words(pa.array([item], pa.string()), marks=True).hash
-                words = known[item]
-                best, a, b = align(words, np.frombuffer(blob, np.uint64))
-                rows.append((best / (MATCH * max(1, len(words))), a, b, len(words)))
-            yield pd.DataFrame(rows, columns=["score", "start", "end", "n_words"])
-
-    scored = found.join(texts, "item_id").withColumn("s", score("words", "item")).filter(F.col("s.score") >= least)
-    best = scored.groupBy("doc", "item_id").agg(F.max(F.struct(F.col("s.score").alias("score"), (-(F.col("lo") + F.col("s.start"))).alias("start"), (F.col("lo") + F.col("s.end")).alias("end"), F.col("s.n_words").alias("n_words"))).alias("m"))
-    real = lambda c: F.when(F.col(c) != LOWEST, F.col(c))
-    return best.select(real("doc").alias("doc_id"), real("item_id").alias("item_id"), "m.score", (-F.col("m.start")).alias("start"), "m.end", "m.n_words")
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a passage of a test item (see find_leaks)."""
-    leaks = find_leaks(docs, items, **options).select(F.coalesce("doc_id", F.lit(LOWEST)).alias(f"{OWN}d")).distinct()
-    return docs.withColumn(f"{OWN}d", F.coalesce("doc_id", F.lit(LOWEST))).join(leaks, f"{OWN}d", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+            for blob, item in zip(windows, words, strict=True):
+                item = np.frombuffer(item, np.uint64)
+                best, a, b = align(item, np.frombuffer(blob, np.uint64))
+                rows.append((best / (MATCH * max(1, len(item))), a, b))
+            yield pd.DataFrame(rows, columns=["score", "start", "end"])
+
+    scored = found.join(keyed_items.select("item", "item_id", "n_words", "words"), "item").withColumn("s", score("here", "words")).filter(F.col("s.score") >= least - 1e-9)
+    return scored.select("doc_id", "key", "item_id", F.col("s.score").alias("score"), (F.col("lo") + F.col("s.start")).alias("start"), (F.col("lo") + F.col("s.end")).alias("end"), "n_words")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:
+    """docs without the rows whose text holds a passage of a test item (see find_leaks); rows that share a doc_id are judged each by its own text."""
+    leaks = _leaks(docs, items, least).select(F.col("key").alias(f"{OWN}k")).distinct()
+    kept = docs.withColumn(f"{OWN}k", text_key("doc_id", "text")).join(leaks, f"{OWN}k", "left_anti")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

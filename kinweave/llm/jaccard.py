@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import LOWEST, OWN, components, small_batches, stage, without
+from .shared import LOWEST, OWN, HashFilter, components, join_counted, local_roots, released, small_batches, stage, without
 
 #: Parts that the sketch is merged in.
 PARTS = 64
@@ -43,12 +43,6 @@ def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return tv.distinct(values, first)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
-
-
 def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     """Frequency class, one byte, of every slot hash(column) mod slots.
 
@@ -67,14 +61,15 @@ def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
                 total[slot] += times.astype(np.uint32)
             held, size = [], 0
 
-        for batch in _slices(batches):
+        for batch in batches:
             seen = True
             for s in _sets(batch, n):
                 held.append(s)
                 size += len(s)
-            if size > 1 << 20:
+            if size > 1 << 18:
                 fold()
         fold()
+        released()
         if seen:
             packed = [pa.compress(total[p * width : (p + 1) * width].tobytes(), codec="zstd", asbytes=True) for p in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
@@ -109,25 +104,6 @@ def _meets(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * inter >= percent * (a + b - inter)
 
 
-def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph (a, b) on n nodes."""
-    parent = list(range(n))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = top(x), top(y)
-        if p != q:
-            parent[p] = q
-            kept.append((x, y))
-    return kept
-
-
 def product_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of linked sets: of `left` among themselves (i < j), or of `left` with `right`.
 
@@ -173,7 +149,12 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 22, depth: int = 4, few: int = 48, block: int = 512, block_columns: int = 1 << 21) -> DataFrame:
+def _marks(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit hashes of a set."""
+    return tuple(int(tv.mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (s, s ^ tv.U(0xA5A5A5A5A5A5A5A5)))
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: int = 1 << 22, depth: int = 4, few: int = 48, block: int = 512, block_columns: int = 1 << 19) -> DataFrame:
     """docs with n_shingles, component_id and n_links.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text with A-Z lower-cased; a
@@ -184,15 +165,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     document's set links with.
 
     Null or empty texts have no shingles and stand alone; rows of equal sets are
-    one row of the matrix; rows that repeat a doc_id are one document, with the
-    size of its largest set and the smallest component of any; null is a doc_id
-    like others, and the smallest (as component_id it stays null). Sets are
-    told apart by two 64-bit hashes, shingles by one. `few`, `block`,
+    one row of the matrix. Rows that repeat a doc_id are told apart by their
+    texts; null is a doc_id like others, and the smallest (as component_id it
+    stays null). Sets are told apart by two 64-bit hashes, shingles by one;
+    more than 60 rounds of connected components raise an error. `few`, `block`,
     `block_columns` and `slots` steer the work alone: none drops a link or
-    changes a result.
+    changes a result. Columns of docs named like the added ones are replaced.
     """
-    added = ("n_shingles", "component_id", "n_links")
-    docs = without(docs, added)
+    docs = without(docs, ("n_shingles", "component_id", "n_links"))
     spark = docs.sparkSession
     small_batches(spark)
     rank = spark.sparkContext.broadcast(column_ranks(docs, n, slots))
@@ -200,35 +180,38 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = rank.value
-        for batch in _slices(batches):
+        for batch in batches:
             sets = _sets(batch, n)
-            size, s1, s2, heads = [], [], [], []
+            size, marks, heads = [], [], []
             for s in sets:
                 size.append(len(s))
-                s1.append(int(tv.mix(s).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
-                s2.append(int(tv.mix(s ^ tv.U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0)
+                marks.append(_marks(s))
                 must = -(-percent * len(s) // 100)
                 head = min(len(s), len(s) - must + depth)
                 heads.append(s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[:head]].astype(np.int64) if len(s) else np.zeros(0, np.int64))
             first = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(h) for h in heads], out=first[1:])
             head = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(size, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), head], names=["doc", "n", "s1", "s2", "head"])
-
-    keyed = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), "text")
-    matrix = stage(keyed.mapInArrow(rows, "doc long, n long, s1 long, s2 long, head array<long>"), "matrix")
-    # documents of equal sets are one row, named by the smallest doc_id
+            marks = [pa.array([m[k] for m in marks], pa.int64()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(size, pa.int64()), *marks, head], names=["doc", "key", "n", "s1", "s2", "head"])
+        released()
+
+    own = (F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("key"))
+    keyed = docs.select(*own, "text")
+    matrix = stage(keyed.mapInArrow(rows, "doc long, key long, n long, s1 long, s2 long, head array<long>"), "matrix")
+    # documents of equal sets are one row, which bears a number; the document of smallest doc_id stands for them
     solid = matrix.filter("n > 0")
-    reps = stage(solid.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc", "head")).alias("m")).select(F.col("m.doc").alias("rep"), "n", "s1", "s2", F.col("m.head").alias("head")), "reps")
+    alike = solid.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc", "key", "head")).alias("m"), F.count("*").alias("copies"))
+    reps = stage(alike.select(F.monotonically_increasing_id().alias("rep"), "m.doc", "m.key", "n", "s1", "s2", "copies", "m.head"), "reps")
+    size = reps.agg(F.sum(F.size("head")), F.sum("copies")).first()
     entries = reps.select("rep", "n", F.explode("head").alias("col"))
-    held = entries.groupBy("col").count().filter("count > 1").withColumnRenamed("count", "held")
-    entries = stage(entries.join(held, "col"), "entries")
+    held = entries.groupBy("col").agg(F.count("*").alias("held"), F.min("rep").alias("centre")).filter("held > 1")
+    held = held.select("col", "held", F.when(F.col("held") > few, F.col("centre")).alias("centre"), F.col("held").alias("weight"))
+    entries = stage(join_counted(entries, held, ["col"], "weight", size[0] or 0), "entries")
 
     must = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
-    many = entries.filter(F.col("held") > few)
-    centre = many.groupBy("col").agg(F.min("rep").alias("centre"))
-    crowds = stage(components(many.join(centre, "col").select("rep", "centre").distinct(), "rep", "centre").select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds")
-    lists = entries.filter(F.col("held") <= few).withColumn("must", must).groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must"))).alias("r"))
+    crowds = stage(components(entries.filter("centre is not null").select("rep", "centre").distinct(), "rep", "centre").select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds")
+    lists = entries.filter("centre is null").withColumn("must", must).groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must"))).alias("r"))
     ordered = lists.select("r", F.posexplode("r").alias("i", "a"))
     ordered = ordered.select("a", F.explode(F.filter(F.expr("slice(r, i + 2, size(r))"), lambda b: b["n"] * percent <= F.col("a.n") * 100)).alias("b"))
     shared = ordered.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least(F.lit(depth), "a.must", "b.must")).alias("least"))
@@ -236,18 +219,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     pairs = shared.filter("shared >= least").join(crowds.withColumnsRenamed({"rep": "a", "crowd": "ca"}), "a", "left").join(crowds.withColumnsRenamed({"rep": "b", "crowd": "cb"}), "b", "left")
     pairs = stage(pairs.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "pairs")
 
-    # whole sets of the rows that are left
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
-    wanted = reps.join(wanted, reps["rep"] == F.col("doc"), "left_semi").select("rep", "n", F.col("s1").alias("w1"), F.col("s2").alias("w2"))
+    # whole sets of the rows that are left; only texts that may be among them move
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
+    wanted = stage(reps.join(wanted, "rep", "left_semi").select("rep", "doc", "key", "n", "s1", "s2"), "wanted")
+    here = wanted.select(F.xxhash64("doc", "key").alias("hash")).distinct()
+    may = spark.sparkContext.broadcast(HashFilter.of(here, here.count()))
+
+    @F.pandas_udf("boolean")
+    def chosen(hashes: pd.Series) -> pd.Series:
+        out = np.zeros(len(hashes), bool)
+        out[may.value.places(hashes.to_numpy(np.int64).view(np.uint64))] = True
+        return pd.Series(out)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            blobs = [s.tobytes() for s in _sets(batch, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), pa.array(blobs, pa.binary())], names=["rep", "n", "set"])
+        for batch in batches:
+            sets = _sets(batch, n)
+            right = [i for i, (s, *m) in enumerate(zip(sets, batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)) if _marks(s) == tuple(m)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["rep", "set"])
+        released()
 
-    texts = keyed.join(wanted, keyed["doc"] == wanted["rep"]).select("rep", "n", "text")
-    sets = texts.mapInArrow(whole, "rep long, n long, set binary").filter(F.length("set") == F.col("n") * 8).dropDuplicates(["rep"])
-    sets = stage(sets, "sets")
+    texts = keyed.filter(F.col("text").isNotNull() & chosen(F.xxhash64("doc", "key"))).join(wanted, ["doc", "key"]).select("rep", "s1", "s2", "text")
+    sets = stage(texts.mapInArrow(whole, "rep long, set binary").dropDuplicates(["rep"]), "sets")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -264,47 +256,54 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     # crowds: bands of size, blocks in a band, and products of blocks that may hold links
     width = -math.log(percent / 100) * 1.001 if percent < 100 else 1e-9
-    banded = reps.select("rep", "n").join(crowds, "rep").select("rep", "n", "crowd", F.floor(F.log(F.col("n").cast("double")) / width).alias("band"))
+    banded = wanted.select("rep", "n").join(crowds, "rep").select("rep", "n", "crowd", F.floor(F.log(F.col("n").cast("double")) / width).alias("band"))
     banded = stage(banded, "bands")
-    per = banded.groupBy("crowd", "band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_columns)).cast("int").alias("blocks"))
+    per = banded.groupBy("crowd", "band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_columns)).cast("int").alias("blocks"), F.count("*").alias("weight"))
     above = per.select("crowd", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = per.select("crowd", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     per = per.join(above, ["crowd", "band"], "left").join(below, ["crowd", "band"], "left").na.fill(0)
-    placed = banded.join(per, ["crowd", "band"]).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = join_counted(banded, per, ["crowd", "band"], "weight", banded.count()).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # a task is (crowd, band, block, other band, other block); each row goes to the tasks of its block
     span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     within = F.transform(span(F.col("blocks")), lambda o: F.struct(F.col("band").alias("x"), F.least("mine", o).alias("i"), F.col("band").alias("y"), F.greatest("mine", o).alias("j"), (F.col("mine") > o).alias("second")))
     up = F.transform(span(F.col("above")), lambda o: F.struct(F.col("band").alias("x"), F.col("mine").alias("i"), (F.col("band") + 1).alias("y"), o.alias("j"), F.lit(False).alias("second")))
     down = F.transform(span(F.col("below")), lambda o: F.struct((F.col("band") - 1).alias("x"), o.alias("i"), F.col("band").alias("y"), F.col("mine").alias("j"), F.lit(True).alias("second")))
     tasks = placed.select("crowd", "rep", F.explode(F.concat(within, up, down)).alias("t")).select("crowd", "rep", "t.*")
-    tasks = tasks.join(sets.select("rep", "set"), "rep")
+    tasks = tasks.join(sets, "rep")
 
     def multiply(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         same = key[1] == key[3] and key[2] == key[4]
-        first = pdf if same else pdf[~pdf["second"]]
-        second = None if same else pdf[pdf["second"]]
-        left = [_unpack(x) for x in first["set"]]
+        second = pdf["second"].to_numpy()
+        names, blobs = pdf["rep"].to_numpy(), [_unpack(x) for x in pdf["set"]]
         if same:
-            i, j = product_links(left, None, percent)
-            names = first["rep"].to_numpy()
+            i, j = product_links(blobs, None, percent)
         else:
-            right = [_unpack(x) for x in second["set"]]
-            i, j = product_links(left, right, percent) if left and right else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            j = j + len(left)
-            names = np.concatenate([first["rep"].to_numpy(), second["rep"].to_numpy()])
-        # a spanning edge counts no links: rows (x, x) hold those of x in this product
-        kept = _spanning(len(names), i, j)
+            order = np.argsort(second, kind="stable")
+            names, left = names[order], int((~second).sum())
+            blobs = [blobs[k] for k in order]
+            i, j = product_links(blobs[:left], blobs[left:], percent) if 0 < left < len(blobs) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            j = j + left
+        # links become edges to the smallest row reached, which count none; rows (x, x) hold the number of x's links here
         each = np.bincount(np.concatenate([i, j]), minlength=len(names))
         some = np.flatnonzero(each)
-        a, b = [np.concatenate([names[[k[side] for k in kept]] if kept else names[:0], names[some]]) for side in (0, 1)]
-        return pd.DataFrame({"a": a, "b": b, "n_links": np.concatenate([np.zeros(len(kept), np.int64), each[some]])}, dtype="int64")
+        nodes, roots = local_roots(i, j) if len(i) else (i, j)
+        far = nodes != roots
+        a, b = np.concatenate([names[nodes[far]], names[some]]), np.concatenate([names[roots[far]], names[some]])
+        return pd.DataFrame({"a": a, "b": b, "n_links": np.concatenate([np.zeros(int(far.sum()), np.int64), each[some]])}, dtype="int64")
 
     spans = tasks.groupBy("crowd", "x", "i", "y", "j").applyInPandas(multiply, "a long, b long, n_links long")
     edges = stage(links.unionByName(spans), "links")
-    joined = components(edges.filter("a <> b"))
+    joined = stage(components(edges.filter("a <> b")), "joined")
     degree = edges.select("a", "n_links").union(edges.filter("a <> b").select("b", "n_links")).groupBy("a").agg(F.sum("n_links").alias("n_links"))
-    named = reps.select("rep", "n", "s1", "s2").join(joined, reps["rep"] == joined["node"], "left").join(degree, reps["rep"] == degree["a"], "left")
-    named = named.select("n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    classes = solid.select("doc", "n", "s1", "s2").join(named, ["n", "s1", "s2"]).groupBy("doc").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id"), F.max("n_links").alias("n_links"))
-    out = docs.withColumn(f"{OWN}d", F.coalesce("doc_id", F.lit(LOWEST))).join(classes, F.col(f"{OWN}d") == F.col("doc"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.when(F.coalesce("component_id", f"{OWN}d") != LOWEST, F.coalesce("component_id", f"{OWN}d")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # components take the smallest doc_id of their documents
+    members = joined.withColumnRenamed("node", "rep").join(reps.select("rep", "doc"), "rep")
+    least = members.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("weight"))
+    named = join_counted(members, least, ["component"], "weight", joined.count()).select("rep", "least")
+    named = reps.join(named, "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
+    named = named.select("n", "s1", "s2", F.coalesce("least", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
+    classes = join_counted(solid.select("doc", "key", "n", "s1", "s2"), named, ["n", "s1", "s2"], "copies", size[1] or 0).select(F.col("doc").alias(f"{OWN}d"), F.col("key").alias(f"{OWN}k"), F.col("n").alias(f"{OWN}n"), F.col("component_id").alias(f"{OWN}c"), F.col("n_links").alias(f"{OWN}l"))
+    # equal rows of docs have equal classes
+    classes = classes.groupBy(f"{OWN}d", f"{OWN}k").agg(*[F.min(f"{OWN}{c}").alias(f"{OWN}{c}") for c in "ncl"])
+    out = docs.withColumns({f"{OWN}d": own[0], f"{OWN}k": own[1]}).join(classes, [f"{OWN}d", f"{OWN}k"], "left")
+    component = F.coalesce(f"{OWN}c", f"{OWN}d")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(f"{OWN}n", F.lit(0)).cast("long").alias("n_shingles"), F.when((component != LOWEST) | F.col("doc_id").isNotNull() & F.col(f"{OWN}c").isNull(), component).alias("component_id"), F.coalesce(f"{OWN}l", F.lit(0)).cast("long").alias("n_links"))

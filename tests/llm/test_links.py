@@ -56,7 +56,11 @@ def test_jaccard_edge_cases(spark):
     assert jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string"), slots=1 << 12).count() == 0
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, None)]
     out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), slots=1 << 12).collect()
-    assert len(out) == 4 and [r["n_shingles"] for r in out] == [2, 2, 2, 2] and {r["component_id"] for r in out} == {None}
+    assert len(out) == 4 and sorted(r["n_shingles"] for r in out) == [0, 2, 2, 2] and {r["component_id"] for r in out} == {None}
+    # rows that repeat a doc_id are judged by their texts; a clashing component_id is replaced
+    rows = [(None, "a b c d e f", 9), (-(1 << 63), "x y z u v w", 9), (7, "p q r s t u", 9), (7, "k l m n o p", 9), (3, "K l m n o p", 9), (None, "p q r s t u", 9)]
+    out = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, component_id int"), slots=1 << 12).collect()
+    assert {(r["doc_id"], r["text"]): r["component_id"] for r in out} == {(None, "a b c d e f"): None, (-(1 << 63), "x y z u v w"): None, (7, "p q r s t u"): None, (7, "k l m n o p"): 3, (3, "K l m n o p"): 3, (None, "p q r s t u"): None}
 
 
 def test_connected_components(spark):
