@@ -236,7 +236,7 @@ def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "item", "lo", "here"])
         released()
 
-    moved = keyed.filter(F.col("text").isNotNull() & may(F.xxhash64("key"))).join(windows, "key")
+    moved = keyed.filter(F.col("text").isNotNull() & may(F.xxhash64("key"))).join(windows.hint("merge"), "key")
     found = moved.select("doc_id", "key", "text", "windows").mapInArrow(extract, "doc_id long, key binary, item long, lo long, here binary")
 
     @F.pandas_udf("score double, start long, end long")
