@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import small_batches, stage
+from .shared import released, small_batches, stage
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -48,6 +48,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
                     columns.append(pa.array([k.astype(np.int64) for k in kept], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        released()
 
     small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
@@ -102,13 +103,15 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray,
 def pack(pieces: DataFrame, window: int = 1024, group_rows: int = 50_000) -> DataFrame:
     """pieces (doc_id, start, length, ...) with sequence_id and offset.
 
-    Groups get group_rows pieces on average. Sequence ids are unique, not
+    Groups get group_rows pieces on average, whatever doc_ids are null or repeated. Sequence ids are unique, not
     gapless: a group's number times 2**32 plus the window's number in it. Ties
     of length go by doc_id (null first) and start. The input should be a
     written table: it is read twice.
     """
     n = pieces.filter(F.col("length") < window).count()
     groups = max(1, math.ceil(n / group_rows))
+    # rows are dealt by what they hold and where they stand in the table, so neither one doc_id nor equal rows make a large group
+    deal = F.xxhash64("doc_id", "start", "length", F.monotonically_increasing_id())
     full = pieces.filter(F.col("length") >= window)
     rest = pieces.filter(F.col("length") < window)
     names = pieces.columns
@@ -118,7 +121,7 @@ def pack(pieces: DataFrame, window: int = 1024, group_rows: int = 50_000) -> Dat
         bins, offsets, _ = best_fit(pdf["length"].to_numpy(), window)
         return pdf[names].assign(sequence_id=(np.int64(key[0]) << 32) + bins, offset=offsets)
 
-    packed = rest.withColumn("__kw_g", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int")).groupBy("__kw_g").applyInPandas(run, rest.schema.simpleString()[7:-1] + ", sequence_id long, offset long")
+    packed = rest.withColumn("__kw_g", F.pmod(deal, F.lit(groups)).cast("int")).groupBy("__kw_g").applyInPandas(run, rest.schema.simpleString()[7:-1] + ", sequence_id long, offset long")
     alone = full.withColumns({"sequence_id": F.monotonically_increasing_id() + (1 << 62), "offset": F.lit(0).cast("long")})
     return packed.unionByName(alone)
 

@@ -3,8 +3,8 @@
 A tokenizer file of the byte-level BPE kind defines the ids. Texts are cut into
 the pre-tokens of its pattern with numpy passes over code points, each distinct
 pre-token is encoded once per worker, and ids are gathered by index. Texts with
-code points beyond the tabled range take the tokenizer itself, which is slower
-and gives the same ids.
+code points beyond the tabled range, or that hold the string of an added token,
+take the tokenizer itself, which is slower and gives the same ids.
 """
 
 from __future__ import annotations
@@ -138,7 +138,10 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         kind = spec.get("pre_tokenizer") or {}
         letters = byte_alphabet()
-        specials = {t["content"] for t in spec.get("added_tokens", [])}
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        specials = set(added)
+        #: Texts that hold one of these may have ids of added tokens; the pattern ignores case and so errs on the safe side.
+        self.added = regex.compile("|".join(map(regex.escape, added)), regex.IGNORECASE) if added else None
         if spec["model"]["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError(f"{path} is not a plain byte-level BPE file")
         ranks = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in specials}
@@ -151,7 +154,6 @@ class Encoder:
         """The tokenizer itself, loaded when a text first needs it."""
         if self._direct is None:
             self._direct = Tokenizer.from_file(self.path)
-            self._direct.encode_special_tokens = True
         return self._direct
 
     def _reset(self) -> None:
@@ -198,7 +200,7 @@ class Encoder:
         return self.ids[index], done[np.searchsorted(at, first, "left")]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text, without special tokens."""
+        """uint32 ids of each text, without the special tokens that frame a text; added tokens that the text spells out count."""
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         group: list[int] = []
         held = 0
@@ -214,7 +216,7 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 out[i] = np.zeros(0, np.uint32)
-            elif not text.isascii() and max(text) >= chr(TABLED):
+            elif (not text.isascii() and max(text) >= chr(TABLED)) or (self.added is not None and self.added.search(text)):
                 out[i] = np.array(self.direct.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
             else:
                 group.append(i)
