@@ -4,26 +4,29 @@ A page becomes three records: a request, a response (or a revisit of an
 earlier one) and metadata, the first and last concurrent to the second. The
 archives are written by Spark's text writer, whose record separator is the
 blank lines that end a WARC record, so any file system works and retried tasks
-leave no trace. Reading follows the records' Content-Length and takes any WARC.
+leave no trace. Spark's text reader inflates them bit by bit, cut at the same
+separator; the parser puts the pieces together by the records' Content-Length
+and takes any WARC, holding one record at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import zlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, stage
+from .shared import drop, fresh, released, remove, small_batches, stage
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
+SEPARATOR = b"\r\n\r\n"
 #: Broadcast the table of repeated payloads up to so many rows of about 150 bytes.
 BROADCAST_ROWS = 100_000
 
@@ -37,25 +40,38 @@ def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], blo
     return F.concat(*lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(CRLF + CRLF), block)
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = 100, date: str = "2024-01-01T00:00:00Z", pages_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, min_payload: int = 100, date: str = "2024-01-01T00:00:00Z", file_bytes: int = 256 << 20, pages_per_file: int = 2000) -> None:
     """Write every row of pages (page_id, url, html) as a transaction of three records to gzip files under path.
 
     The payload is the html in UTF-8, empty for null. Of pages with equal
     payloads of at least min_payload bytes, that with the smallest page_id (a
     null counts as the largest; then by url) holds the response, the others
-    revisit it. Rows equal in all three columns are one capture. Other columns
-    are ignored.
+    revisit it. Rows equal in all three columns are captures of their own,
+    numbered; the first of them may be the response. Files get pages_per_file
+    pages, fewer where pages are so large on average that a file would have
+    more than file_bytes before compression. Other columns are ignored.
     """
     payload = F.coalesce("html", F.lit(""))
     slim = pages.select("page_id", "url", payload.alias("payload")).withColumns({"bytes": F.octet_length("payload").cast("long"), "sha": F.sha2(F.col("payload").cast("binary"), 256)})
     key = F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.md5(F.concat_ws("|", F.coalesce(F.hex("url"), F.lit("-")), F.col("sha"))))
     slim = slim.withColumn("id", F.concat(F.lit("urn:page:"), key))
+    # payloads that several rows bear; `copies` tells whether rows that are equal are among them
+    known = slim.groupBy("sha", "bytes", "page_id", "id").agg(F.count("*").alias("rows"))
     order = F.struct(F.coalesce("page_id", F.lit((1 << 63) - 1)).alias("p"), F.col("id").alias("i"))
-    repeated = slim.filter(F.col("bytes") >= min_payload).groupBy("sha").agg(F.min(order).alias("first"), F.max(order).alias("last")).filter("first.i <> last.i")
-    repeated = stage(repeated.select("sha", F.col("first.i").alias("original")), "payloads")
+    known = stage(known.groupBy("sha", "bytes").agg(F.min(order)["i"].alias("original"), F.count("*").alias("ids"), F.sum("rows").alias("rows")).withColumn("many", F.col("bytes") >= min_payload), "payloads")
+    size = known.agg(F.sum(F.col("bytes") * F.col("rows")), F.sum("rows")).first()
+    repeated = known.filter("rows > ids or (many and ids > 1)").select("sha", "original", (F.col("rows") > F.col("ids")).alias("copies"))
     if repeated.count() <= BROADCAST_ROWS:
         repeated = F.broadcast(repeated)
-    rows = slim.join(repeated, "sha", "left").withColumn("again", F.coalesce(F.col("original") != F.col("id"), F.lit(False)) & (F.col("bytes") >= min_payload))
+    found = slim.join(repeated, "sha", "left")
+    once = found.filter("copies is null or not copies").withColumn("nth", F.lit(1))
+    # equal rows are combined where they stand, then numbered
+    equal = found.filter("copies").groupBy("id", "sha").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "bytes", "original", "copies")], F.count("*").cast("int").alias("n"))
+    equal = equal.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
+    rows = once.unionByName(equal)
+    rows = rows.withColumn("again", F.coalesce((F.col("original") != F.col("id")) | (F.col("nth") > 1), F.lit(False)) & (F.col("bytes") >= min_payload))
+    rows = rows.withColumn("id", F.when(F.col("nth") > 1, F.concat_ws(":", "id", "nth")).otherwise(F.col("id")))
+    each = max(1, min(pages_per_file, int(file_bytes * (size[1] or 1) / max(1, size[0] or 1))))
 
     clean = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7f<>]", "_")
     shared = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", clean)]
@@ -70,40 +86,50 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = 100, date: st
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF), F.coalesce(F.concat(F.lit("page-url-base64: "), F.translate(F.base64(F.col("url").cast("binary")), "\r\n", ""), F.lit(CRLF)), F.lit("")))
     metadata = _record("metadata", F.concat("id", F.lit(":metadata")), [*shared, ("WARC-Concurrent-To", link), ("Content-Type", F.lit("application/warc-fields"))], about)
     records = rows.select(F.explode(F.array(request, F.when(F.col("again"), revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * pages_per_file).text(path)
-
-
-def unzipped(blob: bytes) -> bytes:
-    """The content of a file: gzip with any number of members, or plain."""
-    if blob[:2] != b"\x1f\x8b":
-        return blob
-    parts = []
-    while blob[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        parts.append(z.decompress(blob))
-        blob = z.unused_data
-    return b"".join(parts)
-
-
-def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record; white space between records is skipped."""
-    at, n = 0, len(data)
-    while at < n:
-        while at < n and data[at] in b"\r\n":
-            at += 1
-        stop = data.find(b"\r\n\r\n", at)
+    records.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 3 * each).text(path)
+    drop(known)
+
+
+def records_of(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of a file that comes in pieces; blank lines between records are skipped."""
+    held, size = [next(pieces, b"")], 0
+    size = len(held[0])
+
+    def more() -> bool:
+        nonlocal size
+        piece = next(pieces, None)
+        if piece is None:
+            return False
+        held.append(piece)
+        size += len(piece)
+        return True
+
+    while True:
+        data = b"".join(held)
+        start = len(data) - len(data.lstrip(b"\r\n"))
+        stop = data.find(b"\r\n\r\n", start)
         if stop < 0:
+            held, size = [data[start:]], len(data) - start
+            if more():
+                continue
+            if held[0]:
+                raise ValueError(f"the file ends in the headers of a record: {held[0][:40]!r}")
             return
-        head = data[at:stop].decode("utf-8", "replace").split(CRLF)
+        head = data[start:stop].decode("utf-8", "replace").split(CRLF)
         if not head[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {head[0][:40]!r}")
+            raise ValueError(f"no WARC record: {head[0][:40]!r}")
         headers = {}
         for line in head[1:]:
             name, _, value = line.partition(":")
             headers[name.strip().lower()] = value.strip()
-        size = int(headers.get("content-length", 0))
-        yield headers, data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
+        end = stop + 4 + int(headers.get("content-length", 0))
+        held, size = [data], len(data)
+        while size < end:
+            if not more():
+                raise ValueError(f"the file ends {end - size} bytes before its record does")
+        data = b"".join(held) if len(held) > 1 else data
+        yield headers, data[stop + 4 : end]
+        held, size = [data[end:]], len(data) - end
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
@@ -125,23 +151,46 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
     return bare("warc-record-id"), kind, bare("warc-concurrent-to"), bare("warc-target-uri"), headers.get("warc-date"), bare("warc-refers-to"), digest, length, payload, list(fields.items())
 
 
-def read_records(spark: SparkSession, path: str, rows: int = 256) -> DataFrame:
-    """Records of all archives under path, one row each; digest is that of the payload read, or for revisits the stated one."""
+def read_records(spark: SparkSession, path: str, rows: int = 256, block_bytes: int = 4 << 20) -> DataFrame:
+    """Records of all archives under path, one row each; digest is that of the payload read, or for revisits the stated one.
+
+    Archives are *.gz, with any number of members, and *.warc, which are not
+    compressed and below 2 GB. A file is read by one task, which for *.gz holds
+    one record and at most `rows` records or block_bytes of output at a time. A file that ends within a
+    record or a gzip member raises an error.
+    """
     schema = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("concurrent_to", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("refers_to", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("fields", pa.map_(pa.string(), pa.string()))])
+    small_batches(spark)
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("content"):
-                held: list[tuple] = []
-                for headers, block in records_of(unzipped(blob.as_py())):
-                    held.append(_row(headers, block))
-                    if len(held) == rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                        held = []
-                if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[bytes]]]:
+        lines = ((name, piece) for batch in batches for name, piece in zip(batch.column("file").to_pylist(), batch.column("piece").to_pylist(), strict=True))
+        for name, group in itertools.groupby(lines, key=lambda x: x[0]):
+            yield name, (part for _, piece in group for part in (piece + SEPARATOR,))
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, RECORDS)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal held, size
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+            return out
+
+        for _, pieces in files(batches):
+            for headers, block in records_of(pieces):
+                held.append(_row(headers, block))
+                size += len(block)
+                if len(held) == rows or size >= block_bytes:
+                    yield flush()
+        if held:
+            yield flush()
+        released()
+
+    lines = spark.read.option("lineSep", CRLF + CRLF).option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").text(path)
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").option("recursiveFileLookup", "true").load(path)
+    pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).union(plain.select("path", "content"))
+    return pieces.mapInArrow(parse, RECORDS)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -149,9 +198,11 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Requests and metadata belong to the response or revisit that they name as
     concurrent, directly or through one record between, or that names them.
-    Only ids move to resolve the links; payloads move once. Records without any
-    response make a capture with a null response, named by the record they point
-    to or else by themselves. Records that repeat an id count once.
+    Only ids move to resolve the links; payloads move once, and not at all where
+    the caller does not select them. Records without any response make a capture
+    with a null response, named by the record they point to or else by
+    themselves. Records that repeat an id count once. records should be a
+    written table: it is read several times.
     """
     main = F.col("type").isin("response", "revisit")
     answers = records.filter(main)
@@ -164,11 +215,11 @@ def assemble(records: DataFrame) -> DataFrame:
     small = small.join(via, "concurrent_to", "left").withColumn("capture", F.coalesce("capture", "through", "concurrent_to", "record_id"))
     part = F.struct("record_id", "target_uri", "date", "fields")
     sides = small.groupBy("capture").agg(F.sort_array(F.collect_list(F.when(F.col("type") == "request", F.struct("record_id", "target_uri", "date")))).alias("requests"), F.array_sort(F.collect_list(F.when(F.col("type") == "metadata", part)), lambda a, b: F.when(a["record_id"] < b["record_id"], -1).when(a["record_id"] > b["record_id"], 1).otherwise(0)).alias("metadata"))
-    answer = F.struct("type", "target_uri", "date", "refers_to", "digest", "payload_bytes", "payload").alias("response")
-    answers = answers.dropDuplicates(["record_id"]).select("record_id", answer)
-    out = answers.join(sides, F.col("record_id") == F.col("capture"), "full")
+    answer = ("type", "target_uri", "date", "refers_to", "digest", "payload_bytes", "payload")
+    out = answers.dropDuplicates(["record_id"]).select("record_id", *answer).join(sides, F.col("record_id") == F.col("capture"), "full")
+    response = F.when(F.col("record_id").isNotNull(), F.struct(*answer)).alias("response")
     empty = lambda c: F.coalesce(c, F.filter(c, lambda _: F.lit(False)))
-    return out.select(F.coalesce("record_id", "capture").alias("record_id"), "response", empty(F.col("requests")).alias("requests"), empty(F.col("metadata")).alias("metadata"))
+    return out.select(F.coalesce("record_id", "capture").alias("record_id"), response, empty(F.col("requests")).alias("requests"), empty(F.col("metadata")).alias("metadata"))
 
 
 def page_of(record_id: Column) -> Column:
@@ -177,11 +228,15 @@ def page_of(record_id: Column) -> Column:
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, min_payload: int = 100) -> DataFrame:
-    """Write pages to archives under path (a new shared folder by default), read them back and assemble the captures."""
+    """Write pages to archives under path (by default a new shared folder, which goes when they have been read back), and assemble the captures: one per row of pages."""
     spark = pages.sparkSession
-    path = path or fresh(spark, "warc")
-    write_archives(pages, path, min_payload)
-    return assemble(read_records(spark, path))
+    where = path or fresh(spark, "warc")
+    try:
+        write_archives(pages, where, min_payload)
+        return assemble(stage(read_records(spark, where), "records"))
+    finally:
+        if path is None:
+            remove(spark, where)
 
 
 def decode_url(value: str | None) -> str | None:
