@@ -11,10 +11,12 @@ threads stay together and every reply follows its original.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stage
+from .shared import drop, stage
 
 #: Fixed patterns: the marks of a quoted line, and a line that announces a quote.
 MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
@@ -53,24 +55,80 @@ def _keys(found: DataFrame) -> DataFrame:
     parts = F.concat(F.array("passage"), F.split("passage", "\n", -1), F.split("passage", r"\n[ \t]*\n", -1))
     norms = F.filter(F.array_distinct(F.transform(parts, normalised)), lambda x: x != "")
     out = found.filter("level >= 0").select("message", "conv_id", "turn", "level", F.explode(norms).alias("norm"))
-    hashed = out.select("message", "conv_id", "turn", "level", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(11), "norm").alias("k2"), F.length("norm").alias("weight"))
+    hashed = out.select("message", "conv_id", "turn", "level", F.xxhash64("norm", "conv_id").alias("k1"), F.xxhash64(F.lit(11), "norm", F.col("conv_id").isNull()).alias("k2"), F.length("norm").alias("weight"))
     return hashed.groupBy("message", "conv_id", "turn", "k1", "k2", (F.col("level") > 0).alias("quoted")).agg(F.min("level").alias("level"), F.max("weight").alias("weight"))
 
 
-def quote_links(found: DataFrame) -> DataFrame:
+def _parted(df: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """df without the groups `by` of more than `most` rows, and those groups or None. df should be a written table.
+
+    The groups that are large are fewer than df's rows / most; their names are
+    broadcast, which is what bounds `most` from below on a large table.
+    """
+    large = df.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(*[F.col(c).alias(f"large_{c}") for c in by])
+    if not large.limit(1).count():
+        return df, None
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"large_{c}")) for c in by])
+    return df.join(F.broadcast(large), same, "left_anti"), df.join(F.broadcast(large), same, "left_semi")
+
+
+def _sliced(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df with `at`, which rises with (by, order), and `slice`, which tells the consecutive parts it is cut into."""
+    keys = [*map(F.col, by), *order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    return stage(rows, "slices").withColumn("slice", F.shiftright("at", 33))
+
+
+def _origins(keys: DataFrame, slice_rows: int) -> DataFrame:
+    """keys with o: turn and message of the latest earlier message that holds the hash unquoted."""
+    by = ["k1", "k2"]
+    order = [F.col("turn").asc_nulls_first(), F.col("quoted").desc(), F.col("message").asc()]
+    own = F.when(~F.col("quoted"), F.struct("turn", F.col("message").alias("origin")))
+    whole = lambda df, part, sort: df.withColumn("o", F.last(own, ignorenulls=True).over(Window.partitionBy(*part).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)))
+    usual, large = _parted(keys, by, slice_rows)
+    out = whole(usual, by, order)
+    if large is None:
+        return out
+    # a phrase that many write or quote: each slice looks back in itself, then at the last owner of the slices before
+    cut = _sliced(large, by, order)
+    last = cut.filter("not quoted").groupBy(*by, "slice").agg(F.max(F.struct("at", "turn", F.col("message").alias("origin"))).alias("m")).select(*by, "slice", "m")
+    spans = cut.groupBy(*by, "slice").agg(F.count("*").alias("n")).join(last, [*by, "slice"], "left")
+    before = F.last("m", ignorenulls=True).over(Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = spans.select(*by, "slice", before.alias("carried"))
+    local = whole(cut, [*by, "slice"], [F.col("at")]).join(carried, [*by, "slice"], "left")
+    local = local.withColumn("o", F.coalesce("o", F.when(F.col("carried").isNotNull(), F.struct(F.col("carried.turn").alias("turn"), F.col("carried.origin").alias("origin")))))
+    return out.unionByName(local.select(*out.columns))
+
+
+def quote_links(found: DataFrame, slice_rows: int = 1 << 20) -> DataFrame:
     """For each message that quotes others: message, origin, level (least), weight, and quoted hashes found, one row per origin.
 
     The origin of a hash is the latest message of an earlier turn in the same
     conversation that holds it unquoted (of one turn, the greatest id). Null
-    turns come before all others; null conv_ids are one conversation.
+    turns come before all others; null conv_ids are one conversation. A hash
+    that a conversation bears more than slice_rows times is cut into slices.
     """
-    keys = _keys(found)
-    own = F.when(~F.col("quoted"), F.struct("turn", F.col("message").alias("origin")))
-    before = Window.partitionBy("conv_id", "k1", "k2").orderBy(F.col("turn").asc_nulls_first(), F.col("quoted").desc(), "message").rowsBetween(Window.unboundedPreceding, -1)
-    linked = keys.withColumn("o", F.last(own, ignorenulls=True).over(before)).filter("quoted and o is not null and o.origin <> message")
+    keys = stage(_keys(found), "quotekeys")
+    linked = _origins(keys, slice_rows).filter("quoted and o is not null and o.origin <> message")
     return linked.groupBy("message", F.col("o.origin").alias("origin")).agg(F.first("o.turn").alias("origin_turn"), F.min("level").alias("level"), F.sum("weight").alias("weight"), F.count("*").alias("hits"))
 
 
+def _positions(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """(message, position) of rows (message, conv_id, root_turn, root, turn): places in each conversation, from 1."""
+    order = [F.col("root_turn").asc_nulls_first(), F.col("root").asc(), F.col("turn").asc_nulls_first(), F.col("message").asc()]
+    usual, large = _parted(rows, ["conv_id"], slice_rows)
+    out = usual.select("message", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)).alias("position"))
+    if large is None:
+        return out
+    # a conversation of very many messages: places in a slice, and the rows of the slices before
+    cut = _sliced(large, ["conv_id"], order)
+    spans = cut.groupBy("conv_id", "slice").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select(F.col("conv_id").alias("c"), F.col("slice").alias("s"), "first", before.alias("before"))
+    placed = cut.join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("slice") == F.col("s")))
+    return out.union(placed.select("message", (F.col("at") - F.col("first") + F.col("before") + 1).cast("int")))
+
+
 def _threads(replies: DataFrame) -> DataFrame:
     """(message, root, depth) of messages that reply, by pointer doubling over (message, origin)."""
     state = stage(replies.select("message", F.col("origin").alias("root"), F.lit(1).cast("long").alias("depth")), "threads")
@@ -78,12 +136,21 @@ def _threads(replies: DataFrame) -> DataFrame:
         up = state.select(F.col("message").alias("root"), F.col("root").alias("further"), F.col("depth").alias("more"))
         nxt = state.join(up, "root", "left").select("message", F.coalesce("further", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("further").isNotNull().alias("moved"))
         nxt = stage(nxt, "threads")
+        drop(state)
         if not nxt.filter("moved").limit(1).count():
             return nxt.drop("moved")
-        state = nxt.drop("moved")
+        path, state = nxt, nxt.drop("moved")
+        state._kinweave_path = path._kinweave_path
+
+
+def _message_key() -> Column:
+    """128 bits for (conv_id, turn, role, text); what is null counts as such."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    string = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("|", number("conv_id"), number("turn"), string("role"), string("text")).cast("binary")))
 
 
-def link_quotes(messages: DataFrame) -> DataFrame:
+def link_quotes(messages: DataFrame, slice_rows: int = 1 << 20) -> DataFrame:
     """Reply-ordered conversations without quotes, one row per message.
 
     messages has conv_id, turn, role and text; other columns are dropped, and
@@ -95,13 +162,13 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quoted and found).
 
     Threads come in the order of their first messages, and within a thread
-    messages by turn; of equal turns, by a hash of the row.
+    messages by turn; of equal turns, by the MD5 of the row. Conversations and
+    phrases of more than slice_rows rows are cut into slices, so that no task
+    takes one alone; the result is the same.
     """
-    messages = messages.select("conv_id", "turn", "role", "text").dropDuplicates()
-    absent = [F.col(c).isNull() for c in ("conv_id", "turn", "role", "text")]
-    messages = messages.withColumn("message", F.xxhash64("conv_id", "turn", "role", "text", *absent))
+    messages = messages.select("conv_id", "turn", "role", "text").dropDuplicates().withColumn("message", _message_key())
     found = passages(messages)
-    links = stage(quote_links(found), "quotelinks")
+    links = stage(quote_links(found, slice_rows), "quotelinks")
     best = links.groupBy("message").agg(F.min(F.struct("level", (-F.col("weight")).alias("w"), (-F.coalesce("origin_turn", F.lit(0))).alias("t"), "origin", "origin_turn")).alias("b"), F.count("*").alias("n_linked"))
     replies = stage(best.select("message", F.col("b.origin").alias("origin"), F.col("b.origin_turn").alias("reply_turn"), "n_linked"), "replies")
     quoted = found.filter("level <> 0 or run > 0")
@@ -111,8 +178,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     own = own.select("message", body.alias("body"), "n_quotes")
     threads = _threads(replies) if replies.limit(1).count() else replies.select("message", F.col("origin").alias("root"), F.lit(0).cast("long").alias("depth"))
     roots = messages.select(F.col("message").alias("root"), F.col("turn").alias("root_turn")).join(threads, "root").select("message", "root", "root_turn", "depth")
-    out = messages.join(own, "message", "left").join(replies.drop("origin"), "message", "left").join(roots, "message", "left")
     first = F.when(F.col("root").isNull(), F.col("turn")).otherwise(F.col("root_turn"))
-    out = out.withColumn("root_turn", first).withColumn("root", F.coalesce("root", "message"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("root_turn").asc_nulls_first(), "root", F.col("turn").asc_nulls_first(), "message")
-    return out.select("conv_id", F.row_number().over(order).alias("position"), "turn", "role", F.when(F.col("text").isNotNull(), F.coalesce("body", "text")).alias("text"), "reply_turn", "root_turn", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
+    slim = messages.select("message", "conv_id", "turn").join(roots, "message", "left").withColumn("root_turn", first).withColumn("root", F.coalesce("root", "message"))
+    slim = stage(slim, "order")
+    out = messages.join(own, "message", "left").join(replies.drop("origin"), "message", "left").join(slim.select("message", "root_turn", "depth"), "message").join(_positions(slim, slice_rows), "message")
+    return out.select("conv_id", "position", "turn", "role", F.when(F.col("text").isNotNull(), F.coalesce("body", "text")).alias("text"), "reply_turn", "root_turn", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"))
