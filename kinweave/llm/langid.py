@@ -1,7 +1,7 @@
 """Language identification with language-bitmask n-gram filters.
 
 One bit-sliced Bloom filter serves all languages: a slot is a mask with a bit
-for each language, an n-gram sets its language's bit in each of its slots, and
+for each language (words of 63 bits, as many as the languages need), an n-gram sets its language's bit in each of its slots, and
 the AND of an n-gram's slots names every language that may hold it. A text's
 n-grams are looked up at once; the counts per language, corrected for each
 language's rate of false positives, decide.
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .shared import small_batches
 
-#: Languages in a mask; slots of the filter; slots per n-gram; code points per n-gram.
-MOST_LANGUAGES, SLOTS, HASHES, N = 63, 1 << 20, 3, 3
+#: Languages in a word of a mask; slots of the filter; slots per n-gram; code points per n-gram.
+WORD, SLOTS, HASHES, N = 63, 1 << 20, 3, 3
 SPAN = 1 << 18
 UNKNOWN = "und"
 _MULTIPLIERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
@@ -78,7 +78,7 @@ def _spans(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Filters:
-    """languages in the order of their bits; masks by slot; rate: false positives of each language; usual: its share of the texts, which breaks ties."""
+    """languages in the order of their bits; masks by word and slot; rate: false positives of each language; usual: its share of the texts, which breaks ties."""
 
     languages: list[str]
     masks: np.ndarray
@@ -90,14 +90,16 @@ class Filters:
         hits, total, letters = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts)), np.zeros(len(texts), bool)
         for lo, hi in _spans(texts):
             codes, row, letters[lo:hi] = grams(texts[lo:hi])
-            mask = self.masks[slots_of(codes, 0)]
-            for k in range(1, HASHES):
-                mask = mask & self.masks[slots_of(codes, k)]
+            places = [slots_of(codes, k) for k in range(HASHES)]
             total[lo:hi] = np.bincount(row, minlength=hi - lo)
             edges = np.searchsorted(row, np.arange(hi - lo + 1))
-            for b in range(len(self.languages)):
-                run = np.concatenate([[0], np.cumsum((mask >> b) & 1)])
-                hits[lo:hi, b] = run[edges[1:]] - run[edges[:-1]]
+            for word, held in enumerate(self.masks):
+                mask = held[places[0]]
+                for at in places[1:]:
+                    mask = mask & held[at]
+                for b in range(min(WORD, len(self.languages) - word * WORD)):
+                    run = np.concatenate([[0], np.cumsum((mask >> b) & 1)])
+                    hits[lo:hi, word * WORD + b] = run[edges[1:]] - run[edges[:-1]]
         return hits, total, letters
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -118,15 +120,14 @@ def learn_filters(labelled: DataFrame, per_language: int = 20_000, least: float
     taken, by a hash of the text. An n-gram enters a language's filter if it is
     seen three times or more and makes up at least a share `least` of the
     language's n-grams in the sample. Rows of null text or lang are not learned
-    from; an empty table gives filters that answer `und`.
+    from; rows that repeat count as often as they stand there; an empty table
+    gives filters that answer `und`. The driver holds one count per language.
     """
     small_batches(labelled.sparkSession)
     counts = {r["lang"]: r["count"] for r in labelled.filter("lang is not null and text is not null").groupBy("lang").count().collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"a mask has room for {MOST_LANGUAGES} languages")
     languages = sorted(counts)
     if not languages:
-        return Filters([], np.zeros(SLOTS, np.int64), np.zeros(0), np.zeros(0))
+        return Filters([], np.zeros((0, SLOTS), np.int64), np.zeros(0), np.zeros(0))
     share = F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(int(min(1.0, per_language / counts[name]) * (1 << 30))))])
     sample = labelled.filter("lang is not null and text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.try_element_at(share, F.col("lang")))
 
@@ -144,18 +145,19 @@ def learn_filters(labelled: DataFrame, per_language: int = 20_000, least: float
 
     seen = sample.select("text", "lang").mapInArrow(count, "code long, bit long, n long").groupBy("code", "bit").agg(F.sum("n").alias("n"))
     total = seen.groupBy("bit").agg(F.sum("n").alias("total"))
-    kept = seen.join(F.broadcast(total), "bit").filter((F.col("n") >= 3) & (F.col("n") >= F.col("total") * least)).groupBy("code").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("mask"))
+    kept = seen.join(F.broadcast(total), "bit").filter((F.col("n") >= 3) & (F.col("n") >= F.col("total") * least)).groupBy("code", F.expr(f"cast(bit div {WORD} as int)").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(bit % {WORD} as int))")).alias("mask"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, mask = batch.column("code").to_numpy().view(np.uint64), batch.column("mask").to_numpy()
+            codes, word, mask = batch.column("code").to_numpy().view(np.uint64), batch.column("word").to_numpy(), batch.column("mask").to_numpy()
             at = np.concatenate([slots_of(codes, k) for k in range(HASHES)])
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(mask, HASHES))], names=["slot", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(word, HASHES)), pa.array(np.tile(mask, HASHES))], names=["slot", "word", "mask"])
 
-    rows = kept.mapInArrow(place, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks = np.zeros(SLOTS, np.int64)
-    masks[rows["slot"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    fill = np.array([((masks >> b) & 1).mean() for b in range(len(languages))])
+    # at most one row per slot and word reaches the driver, 8 MB of masks for 63 languages
+    rows = kept.mapInArrow(place, "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    masks = np.zeros((-(-len(languages) // WORD), SLOTS), np.int64)
+    masks[rows["word"].to_numpy(np.int64), rows["slot"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
+    fill = np.array([((masks[b // WORD] >> b % WORD) & 1).mean() for b in range(len(languages))])
     usual = np.array([counts[name] for name in languages], float)
     return Filters(languages, masks, fill**HASHES, usual / usual.sum())
 
@@ -166,7 +168,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score (0 to 1); null texts and texts without a letter get `und` and 0. Columns of these names are replaced."""
+    """docs with lang_pred and score (0 to 1); null texts and texts without a letter get `und` and 0. Columns of these names are replaced.
+
+    Equal texts get equal answers; of languages that explain as many n-grams,
+    the one with more texts among those learned from wins.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
