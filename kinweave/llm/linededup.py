@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWEST, OWN, small_batches, stage, without
+from .shared import LOWEST, OWN, released, small_batches, stage, without
 
 BLANK = " \t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -44,11 +44,12 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.name = f"kinweave_run_{uuid.uuid4().hex}"
-        self.made = 0
+        self.made, self.tables = 0, []
 
     def _write(self, df: DataFrame, level: int) -> None:
         self.made += 1
         name = f"{self.name}_{self.made}"
+        self.tables.append(name)
         df.repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
@@ -67,6 +68,11 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for x in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {x}")
+            self.tables.remove(x)
+
+    def close(self) -> None:
+        """Drop the runs that are left, as after a failure."""
+        self._drop([*self.tables])
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch: (doc, h1, h2) with each line hash once per document."""
@@ -83,11 +89,9 @@ class LineRuns:
             level += 1
 
     def finish(self, least: int) -> DataFrame:
-        """(h1, h2, top) of lines in at least so many documents; the runs go."""
+        """(h1, h2, top) of lines in at least so many documents."""
         names = [x for level in self.levels for x in level]
-        out = stage(self._merged(names).filter(F.col("n") >= least).select("h1", "h2", "top"), "lines")
-        self._drop(names)
-        return out
+        return stage(self._merged(names).filter(F.col("n") >= least).select("h1", "h2", "top"), "lines")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -110,11 +114,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     keys = stage(keys, "linekeys")
     cuts = docs.agg(F.percentile_approx(f"{OWN}d", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     runs, above = LineRuns(spark, fanout), None
-    for cut in [*sorted(set(cuts), reverse=True), None]:
-        part = keys if cut is None else keys.filter(F.col("doc") > cut)
-        runs.add(part if above is None else part.filter(F.col("doc") <= above))
-        above = cut
-    often = runs.finish(min_docs)
+    try:
+        for cut in [*sorted(set(cuts), reverse=True), None]:
+            part = keys if cut is None else keys.filter(F.col("doc") > cut)
+            runs.add(part if above is None else part.filter(F.col("doc") <= above))
+            above = cut
+        often = runs.finish(min_docs)
+    finally:
+        runs.close()
     gone = keys.join(often, ["h1", "h2"]).filter("doc <> top").groupBy("doc").agg(F.collect_set("h1").alias(f"{OWN}gone"))
 
     @F.pandas_udf("text string, n int")
@@ -134,6 +141,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
                         kept.append(line)
                 rows.append(("\n".join(kept), n))
             yield pd.DataFrame(rows, columns=["text", "n"])
+        released()
 
     out = docs.join(gone, F.col(f"{OWN}d") == F.col("doc"), "left")
     out = out.withColumn(f"{OWN}new", rewrite(F.when(F.col(f"{OWN}gone").isNotNull(), F.col("text")), F.col(f"{OWN}gone")))

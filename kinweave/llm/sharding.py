@@ -133,7 +133,9 @@ def histogram_sort(docs: DataFrame, shards: int = 24, tolerance: float = 0.005,
         r = bucket_of(h.to_numpy(), d.to_numpy(), bh, bd)
         return pd.DataFrame({"range": r.astype(np.int32), "base": base[r]})
 
-    out = docs.withColumn(f"{OWN}p", place(f"{OWN}h", f"{OWN}d"))
+    out = docs.withColumn(f"{OWN}p", place(f"{OWN}h", f"{OWN}d")).withColumn(f"{OWN}r", F.col(f"{OWN}p.range"))
+    # range number k is partition k: no two ranges meet in a task
+    out = out.repartitionById(len(bh) + 1, F.col(f"{OWN}r"))
     w = Window.partitionBy(f"{OWN}r").orderBy(f"{OWN}h", f"{OWN}d")
-    out = out.withColumn(f"{OWN}r", F.col(f"{OWN}p.range")).withColumn("slot", F.row_number().over(w) - 1 + F.col(f"{OWN}p.base"))
+    out = out.withColumn("slot", F.row_number().over(w) - 1 + F.col(f"{OWN}p.base"))
     return out.withColumn("shard", (F.col(f"{OWN}r") / per_shard).cast("int")).drop(*[c for c in out.columns if c.startswith(OWN)])
