@@ -1,14 +1,15 @@
 """Quality classifier by co-training of two views.
 
 View one sees the text (kinds of characters, words, repetition), view two the
-page's metadata (language, source, length). Both start from the labelled rows;
-each round, each view hands the rows of an unlabelled pool that it is sure of
-to the other as labels. How sure is sure enough is read off held-out labels.
-At the end each view is calibrated on held-out labels, and a logistic
-combination of the calibrated views scores every document.
-
-Fitting takes a bounded sample to the driver (`sample` labelled rows and as
-many unlabelled ones); scoring runs over all documents.
+page's metadata alone (language, source, stated length). Both start from the
+labelled rows; each round, each view hands the rows of an unlabelled pool that
+it is sure of to the other as labels. How sure is sure enough is read off one
+part of the labels that is held out; a second part calibrates the views, and a
+third fits the logistic combination of the calibrated views that scores every
+document.
+
+Fitting takes bounded samples to the driver (`sample` labelled rows, `pool`
+unlabelled ones); scoring runs over all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import OWN, small_batches, without
+from .shared import OWN, released, small_batches, stage, without
 
 #: Kinds of bytes: lower case, upper case, digits, blanks, line ends, single marks, other ASCII, beyond ASCII.
 _MARKS = b".,;:!?'\"-()|#$%&*"
@@ -33,7 +34,8 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[[32, 9]], _KIND[[10, 13]], _KIN
 for _i, _c in enumerate(_MARKS):
     _KIND[_c] = 7 + _i
 KINDS = 7 + len(_MARKS)
-SOURCES, LANGS = 64, 32
+#: Slots for hashed sources and languages, and half octaves of length.
+SOURCES, LANGS, SIZES = 64, 32, 44
 _ADDED = ("p_text", "p_meta", "score", "keep")
 
 
@@ -68,25 +70,21 @@ def text_view(column: pa.Array) -> np.ndarray:
     return np.column_stack([share, np.sqrt(share[:, 7:]), counts[:, 1] / letters, by(length), by(length <= 2), by(length > 12), by(ends >= 7), by(ends >= 11), by(same), uniq, top, np.log1p(words) * uniq, np.log1p(counts[:, 4] / words)])
 
 
-def meta_view(lang: list, source: list, n_chars: list, lines: np.ndarray) -> np.ndarray:
-    """Features of a page's metadata: hashed language and source, length and lines."""
+def meta_view(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """Features of a page's metadata: hashed language and source, and the stated length, on a line and by half octaves."""
     n = len(lang)
-    out = np.zeros((n, LANGS + SOURCES + 6))
+    out = np.zeros((n, LANGS + SOURCES + SIZES + 2))
+    size = np.log2(1 + np.array([0 if c is None else max(0, c) for c in n_chars], float))
     for i, (a, b) in enumerate(zip(lang, source, strict=True)):
         out[i, zlib.crc32((a or "").encode()) % LANGS] = 1
         out[i, LANGS + zlib.crc32((b or "").encode()) % SOURCES] = 1
-    chars = np.array([0 if c is None else max(0, c) for c in n_chars], float)
-    size = np.log1p(chars)
-    out[:, -6:] = np.column_stack([size, size**2 / 10, np.log1p(lines), np.log1p(chars / (1 + lines)), chars < 200, chars > 5000])
+    out[np.arange(n), LANGS + SOURCES + np.minimum(SIZES - 1, (2 * size).astype(int))] = 1
+    out[:, -2], out[:, -1] = size, size**2 / 10
     return out
 
 
 def views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text = batch.column("text")
-    data, offs = tv.buffers(text)
-    ends = np.concatenate([[0], np.cumsum(data == 10)])
-    get = lambda c: batch.column(c).to_pylist()
-    return text_view(text), meta_view(get("lang"), get("source"), get("n_chars"), ends[offs[1:]] - ends[offs[:-1]])
+    return text_view(batch.column("text")), meta_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
 
 @dataclass
@@ -140,39 +138,48 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(self.both.margin(np.column_stack([a, b])))
 
 
-def _sure(margin: np.ndarray, y: np.ndarray, purity: float) -> tuple[float, float]:
-    """Margins above which held-out rows are good, and below which they are bad, with at least this purity."""
+def _sure(margin: np.ndarray, y: np.ndarray, purity: tuple[float, float]) -> tuple[float, float]:
+    """Margins above which held-out rows are good, and below which they are bad, with at least the purity of either class."""
     found = []
-    for sign in (1, -1):
+    for sign, least in zip((1, -1), purity, strict=True):
         order = np.argsort(-sign * margin, kind="stable")
         right = np.cumsum((y[order] == (sign > 0)).astype(float))
         n = np.arange(1, len(y) + 1)
         # a lower bound: one more wrong row than seen
-        good = np.flatnonzero((right / (n + 1) >= purity) & (n >= 20))
+        good = np.flatnonzero((right / (n + 1) >= least) & (n >= 20))
         found.append(margin[order[good[-1]]] if len(good) else sign * np.inf)
     return found[0], found[1]
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 4, purity: float = 0.97, grow: float = 0.25) -> CoTrained:
-    """Fit both views on labels y (0 or 1) and a pool without labels. Every fourth labelled row is held out for thresholds and calibration."""
-    held = np.arange(len(y)) % 4 == 3
-    own = ~held
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray, pool_m: np.ndarray, rounds: int = 4, purity: tuple[float, float] = (0.9, 0.97), grow: float = 0.25) -> CoTrained:
+    """Fit both views on labels y (0 or 1) and a pool without labels.
+
+    Of every eight labelled rows one is held out for thresholds, one for
+    calibration and one for the combination. A class's pseudo-labels must be
+    wrong half as often as its share alone would make them, within the bounds
+    `purity`: views of different strength both find rows that they are sure of.
+    """
+    part = np.arange(len(y)) % 8
+    own, sure, scale, mix = part % 2 == 1, part == 2, part == 4, part == 6
+    own |= part == 0
     given = {"text": (xt[own], y[own].astype(float)), "meta": (xm[own], y[own].astype(float))}
     free = {"text": np.ones(len(pool_t), bool), "meta": np.ones(len(pool_t), bool)}
     x, pool, exchanged = {"text": xt, "meta": xm}, {"text": pool_t, "meta": pool_m}, []
+    shares = (y.mean(), 1 - y.mean())
+    wanted = tuple(float(np.clip(1 - (1 - s) / 2, *purity)) for s in shares)
     for turn in range(rounds + 1):
         model = {v: Logistic.fit(*given[v]) for v in given}
         if turn == rounds or not len(pool_t):
             break
         moved = []
         for mine, other in (("text", "meta"), ("meta", "text")):
-            high, low = _sure(model[mine].margin(x[mine][held]), y[held], purity)
+            high, low = _sure(model[mine].margin(x[mine][sure]), y[sure], wanted)
             m = model[mine].margin(pool[mine])
             # as many of each class as its share among the labels, surest first
             take = []
-            for sign, cut, share in ((1, high, y.mean()), (-1, -low, 1 - y.mean())):
-                sure = np.flatnonzero(free[other] & (sign * m >= cut))
-                take.append(sure[np.argsort(-sign * m[sure], kind="stable")][: int(grow * share * len(pool_t)) + 1])
+            for sign, cut, share in ((1, high, shares[0]), (-1, -low, shares[1])):
+                rows = np.flatnonzero(free[other] & (sign * m >= cut))
+                take.append(rows[np.argsort(-sign * m[rows], kind="stable")][: int(grow * share * len(pool_t)) + 1])
             rows, labels = np.concatenate(take), np.repeat([1.0, 0.0], [len(t) for t in take])
             free[other][rows] = False
             given[other] = (np.concatenate([given[other][0], pool[other][rows]]), np.concatenate([given[other][1], labels]))
@@ -180,14 +187,14 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray,
         exchanged.append((moved[0], moved[1]))
         if not any(moved):
             break
-    a, b = model["text"].margin(xt[held]), model["meta"].margin(xm[held])
-    scale_a, scale_b = Logistic.fit(a[:, None], y[held], 0.1), Logistic.fit(b[:, None], y[held], 0.1)
-    both = Logistic.fit(np.column_stack([scale_a.margin(a[:, None]), scale_b.margin(b[:, None])]), y[held], 0.1)
+    margin = lambda v, rows: model[v].margin(x[v][rows])[:, None]
+    scale_a, scale_b = (Logistic.fit(margin(v, scale), y[scale], 0.1) for v in ("text", "meta"))
+    both = Logistic.fit(np.column_stack([scale_a.margin(margin("text", mix)), scale_b.margin(margin("meta", mix))]), y[mix], 0.1)
     return CoTrained(model["text"], model["meta"], scale_a, scale_b, both, exchanged)
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """Compact features of docs, with doc_id and label."""
+    """Compact features of docs, with doc_id, label and hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,31 +202,38 @@ def _features(docs: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 512)
                 t, m = views(part)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.astype(np.float32).ravel())) for v in (t, m)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), *lists], names=["doc_id", "label", "t", "m"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("hash"), *lists], names=["doc_id", "label", "hash", "t", "m"])
+        released()
 
-    return docs.select("doc_id", "label", "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, label int, t array<float>, m array<float>")
+    return docs.select("doc_id", "label", F.col(f"{OWN}h").alias("hash"), "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(run, "doc_id long, label int, hash long, t array<float>, m array<float>")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, **options) -> CoTrained | None:
-    """Co-train on at most about `sample` labelled rows (doc_id, quality) and as many unlabelled documents; None without both classes.
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pool: int = 20_000, **options) -> CoTrained | None:
+    """Co-train on at most about `sample` labelled rows (doc_id, quality) and `pool` unlabelled documents; None without both classes.
 
-    Which rows are taken depends on a hash of doc_id alone. Labels of null
-    doc_id or quality, and repeats of a doc_id, are ignored.
+    Which rows are taken depends on hashes of doc_id and text alone; rows equal
+    in both count once, and rows that repeat a labelled doc_id all bear its
+    label and share its bound. Labels of null doc_id or quality are ignored; of
+    a doc_id's labels the smallest counts.
     """
     small_batches(docs.sparkSession)
-    marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     one = 1 << 30
-    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), F.col("doc_id")), F.lit(one)) < int(min(1.0, sample / max(1, n)) * one)
-    marked = marked.filter(part(labels.count(), 1))
-    chosen = docs.drop("label").join(F.broadcast(marked), "doc_id", "left").filter(F.col("label").isNotNull() | part(docs.count(), 2))
-    rows = _features(chosen).orderBy("doc_id").toArrow().combine_chunks()
+    part = lambda n, most, salt, *c: F.pmod(F.xxhash64(F.lit(salt), *c), F.lit(one)) < int(min(1.0, most / max(1, n)) * one)
+    marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
+    marked = stage(marked.filter(part(labels.count(), sample, 1, F.col("doc_id"))), "marked")  # about `sample` rows, broadcast
+    size = docs.select("doc_id").join(F.broadcast(marked), "doc_id", "left").agg(F.count("*"), F.count("label")).first()
+    known = F.col("label").isNotNull()
+    rows = docs.drop("label").join(F.broadcast(marked), "doc_id", "left")
+    rows = rows.filter((known & part(size[1], sample, 3, "doc_id", "text")) | (~known & part(size[0], pool, 2, "doc_id", "text")))
+    chosen = rows.withColumn(f"{OWN}h", F.xxhash64("text")).dropDuplicates(["doc_id", f"{OWN}h"])
+    rows = _features(chosen).orderBy("doc_id", "hash").toArrow().combine_chunks()
     if not rows.num_rows:
         return None
     # flat buffers, never lists of numbers: the sample is all that the driver holds
     t, m = (rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1) for c in ("t", "m"))
     known = rows.column("label").is_valid().to_numpy(zero_copy_only=False)
     y = rows.column("label").drop_null().to_numpy().astype(float)
-    if len(y) < 8 or y.min() == y.max() or len(np.unique(y[3::4])) < 2:
+    if len(y) < 16 or any(len(np.unique(y[np.arange(len(y)) % 8 == k])) < 2 for k in (1, 4, 6)):
         return None
     return co_train(t[known], m[known], y, t[~known], m[~known], **options)
 
@@ -247,6 +261,7 @@ def score_quality(docs: DataFrame, model: CoTrained | None, threshold: float = 0
                 if held.value is not None:
                     out[s] = np.column_stack(held.value.score(*views(batch)))
             yield pd.DataFrame(out, columns=["p_text", "p_meta", "score"])
+        released()
 
     silent = F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\x0c\r"))) == 0
     out = docs.withColumn(f"{OWN}s", score("text", "lang", "source", F.col("n_chars").cast("long")))
