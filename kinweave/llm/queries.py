@@ -93,7 +93,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_STRING = "coalesce(length({0}) || ':' || {0}, '-')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_quotation_links": rf"""
+        WITH RECURSIVE m AS (
+            SELECT DISTINCT conv_id, turn, role, text, md5(coalesce(conv_id::VARCHAR, '-') || '|' || coalesce(turn::VARCHAR, '-') || '|' || {_STRING.format("role")} || '|' || {_STRING.format("text")}) AS message
+            FROM conversations
+        ), split AS (
+            SELECT message, conv_id, turn, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS l FROM m WHERE regexp_matches(coalesce(text, ''), '(?m)^[ \t]{{0,3}}>')
+        ), lines AS (
+            SELECT message, conv_id, turn, unnest(range(len(l))) AS pos, unnest(l) AS line FROM split
+        ), marked AS (
+            SELECT *, length(regexp_replace(regexp_extract(line, '^((?:[ \t]{{0,3}}>)+)[ \t]?', 1), '[^>]', '', 'g')) AS marks FROM lines
+        ), levelled AS (
+            SELECT *, CASE WHEN marks = 0 AND regexp_matches(line, '(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*$') AND lead(marks) OVER (PARTITION BY message ORDER BY pos) > 0 THEN -1 ELSE marks END AS level
+            FROM marked
+        ), changes AS (
+            SELECT *, CASE WHEN level <> lag(level) OVER (PARTITION BY message ORDER BY pos) THEN 1 ELSE 0 END AS changed FROM levelled
+        ), runs AS (
+            SELECT *, sum(changed) OVER (PARTITION BY message ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM changes
+        ), found AS (
+            SELECT message, run, any_value(conv_id) AS conv_id, any_value(turn) AS turn, any_value(level) AS level, string_agg(regexp_replace(line, '^((?:[ \t]{{0,3}}>)+)[ \t]?', ''), chr(10) ORDER BY pos) AS passage
+            FROM runs GROUP BY message, run
+            UNION ALL
+            SELECT message, 0, conv_id, turn, 0, coalesce(text, '') FROM m WHERE NOT regexp_matches(coalesce(text, ''), '(?m)^[ \t]{{0,3}}>')
+        ), parts AS (
+            SELECT message, conv_id, turn, level, unnest(list_concat([passage], string_split(passage, chr(10)), regexp_split_to_array(passage, '\n[ \t]*\n'))) AS part FROM found WHERE level >= 0
+        ), keys AS (
+            SELECT message, conv_id, turn, norm, level > 0 AS quoted, min(level) AS level, max(length(norm)) AS weight
+            FROM (SELECT *, {_NORM.format("part")} AS norm FROM parts) WHERE norm <> '' GROUP BY message, conv_id, turn, norm, level > 0
+        ), owners AS (
+            SELECT *, last_value(CASE WHEN NOT quoted THEN {{'turn': turn, 'origin': message}} END IGNORE NULLS) OVER (
+                PARTITION BY conv_id, norm ORDER BY turn NULLS FIRST, quoted DESC, message ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM keys
+        ), links AS (
+            SELECT message, o.origin AS origin, any_value(o.turn) AS origin_turn, min(level) AS level, sum(weight) AS weight FROM owners WHERE quoted AND o IS NOT NULL AND o.origin <> message GROUP BY message, o.origin
+        ), replies AS (
+            SELECT message, origin, origin_turn AS reply_turn, count(*) OVER (PARTITION BY message) AS n_linked FROM links
+            QUALIFY row_number() OVER (PARTITION BY message ORDER BY level, weight DESC, coalesce(origin_turn, 0) DESC, origin) = 1
+        ), up AS (
+            SELECT message, origin AS root, 1 AS depth FROM replies
+            UNION ALL
+            SELECT up.message, r.origin, up.depth + 1 FROM up JOIN replies r ON r.message = up.root
+        ), roots AS (
+            SELECT up.message, up.root, up.depth, m.turn AS root_turn FROM up JOIN m ON m.message = up.root WHERE up.root NOT IN (SELECT message FROM replies)
+        ), own AS (
+            SELECT message, regexp_replace(coalesce(string_agg(passage, chr(10) ORDER BY run) FILTER (WHERE level = 0), ''), '^\s+|\s+$', '', 'g') AS body, count(*) FILTER (WHERE level > 0) AS n_quotes
+            FROM found WHERE message IN (SELECT message FROM found WHERE level <> 0 OR run > 0) GROUP BY message
+        ), laid AS (
+            SELECT m.conv_id, m.turn, m.role, m.text, m.message, body, n_quotes, n_linked, reply_turn, depth, coalesce(root, m.message) AS root, CASE WHEN root IS NULL THEN m.turn ELSE root_turn END AS root_turn
+            FROM m LEFT JOIN own USING (message) LEFT JOIN replies USING (message) LEFT JOIN roots USING (message)
+        )
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn NULLS FIRST, root, turn NULLS FIRST, message)::INTEGER AS position, turn, role, reply_turn, root_turn,
+            coalesce(depth, 0)::BIGINT AS depth, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(n_linked, 0)::BIGINT AS n_linked, CASE WHEN text IS NOT NULL THEN sha256(coalesce(body, text)) END AS text_sha256
+        FROM laid
+    """,
     "op3_line_runs": f"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
@@ -111,10 +166,9 @@ ORACLE_SQL: dict[str, str] = {
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
         ), f AS (
-            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+            SELECT *, first_value(page_id) OVER w AS first, payload_bytes >= 100 AND row_number() OVER w > 1 AS again FROM p WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST)
         )
-        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to, 1 AS n_requests, 1 AS n_metadata
         FROM f
     """,
 }

@@ -168,8 +168,11 @@ def test_archives_round_trip(spark, tmp_path):
     rows = [(3, "http://a/3", long), (1, "http://a/1", long), (2, "bad url\r\nX: y", tricky), (4, None, None), (5, "http://a/5", "short"), (6, "http://a/6", "short"), (None, "http://n", long), (7, "http://a/7", "é" * 60), (1, "http://a/1", long)]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, payload int")
     out = warc.archive_pages(pages, f"file://{tmp_path}/warc").collect()
-    assert len(out) == 8  # the repeated row is one capture
-    by = {r["record_id"].split(":")[2]: r for r in out}
+    assert len(out) == 9 and len({r["record_id"] for r in out}) == 9
+    again = next(r for r in out if r["record_id"].endswith(":2"))  # the row that repeats page 1
+    assert again["response"]["type"] == "revisit" and again["response"]["payload_bytes"] == 150 and len(again["requests"]) == 1
+    by = {r["record_id"].split(":")[2]: r for r in out if r is not again}
+    assert again["response"]["refers_to"] == by["1"]["record_id"]
     assert by["1"]["response"]["type"] == "response" and bytes(by["1"]["response"]["payload"]) == long.encode()
     for k in ("3", "null"):
         r = by[k]["response"]
@@ -181,6 +184,42 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
+def test_equal_rows_are_captures_of_their_own(spark):
+    long = "z" * 120
+    rows = [(1, "u", long)] * 3 + [(2, "u", "short")] * 2 + [(None, None, None)] * 2 + [(3, "u", long)] + [(9, "v", "w" * 300_000)]
+    out = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    kinds = sorted((warc_page(r), r["response"]["type"], r["response"]["payload_bytes"]) for r in out)
+    assert kinds == [("1", "response", 120), ("1", "revisit", 120), ("1", "revisit", 120), ("2", "response", 5), ("2", "response", 5), ("3", "revisit", 120), ("9", "response", 300_000), ("null", "response", 0), ("null", "response", 0)]
+    assert {warc_page({"record_id": r["response"]["refers_to"]}) for r in out if r["response"]["type"] == "revisit"} == {"1"}
+    assert all(len(r["requests"]) == len(r["metadata"]) == 1 for r in out)
+
+
+def warc_page(row):
+    return row["record_id"].split(":")[2]
+
+
+def test_reading_other_archives(spark, tmp_path):
+    import gzip
+
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + b"\xff\xfe\r\n\r\n" * 400 + b"end"
+    record = lambda i, b: f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r{i}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n"
+    parts = [record(i, block[: 20 + 37 * i] if i else b"HTTP/1.1 200 OK\r\n\r\n") for i in range(40)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts[:20]))  # a member per record
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(parts[20:30])))
+    (tmp_path / "c.warc").write_bytes(b"".join(parts[30:]))
+    out = {r["record_id"]: bytes(r["payload"]) for r in warc.read_records(spark, f"file://{tmp_path}").collect()}
+    body = lambda i: (block[: 20 + 37 * i] if i else b"HTTP/1.1 200 OK\r\n\r\n").partition(b"\r\n\r\n")[2]
+    assert out == {f"r{i}": body(i) for i in range(40)}
+    cut = tmp_path / "cut"
+    cut.mkdir()
+    (cut / "d.warc.gz").write_bytes(gzip.compress(b"".join(parts[:3])[:-30]))
+    with pytest.raises(Exception, match="before its record does|ends in the headers"):
+        warc.read_records(spark, f"file://{cut}").collect()
+    (cut / "d.warc.gz").write_bytes(gzip.compress(parts[39])[:-20])
+    with pytest.raises(Exception, match="(?i)eof|unexpected end|FAILED_READ_FILE"):
+        warc.read_records(spark, f"file://{cut}").collect()
+
+
 def test_assembly_of_odd_links(spark):
     schema = warc.RECORDS
     row = lambda i, kind, to=None: (i, kind, to, None, None, None, None, 0, None, {})

@@ -13,7 +13,7 @@ def test_quality_held_out_accuracy(spark):
     scored = quality.score_quality(docs, model).join(labels.join(seen, "doc_id", "left_anti"), "doc_id")
     good, bad = (scored.filter(F.col("quality") == k).agg(F.avg(F.col("keep").cast("double"))).first()[0] for k in (1, 0))
     assert good > 0.995 and bad < 0.05
-    assert model.exchanged[0][0] > 0
+    assert all(sum(moved[k] for moved in model.exchanged) > 0 for k in (0, 1))  # both views teach
 
 
 def test_quality_edge_cases(spark):
@@ -48,12 +48,12 @@ def test_language_held_out_accuracy(spark):
 
 def test_filters_hold_every_ngram_and_count_as_brute_force():
     texts = ["der Hund und die Katze", "the dog and the cat", "à bientôt, ça va"]
-    masks, sets = np.zeros(langid.SLOTS, np.int64), []
+    masks, sets = np.zeros((1, langid.SLOTS), np.int64), []
     for b, t in enumerate(texts):
         codes, _, _ = langid.grams([t])
         sets.append(set(codes.tolist()))
         for k in range(langid.HASHES):
-            np.bitwise_or.at(masks, langid.slots_of(codes, k), 1 << b)
+            np.bitwise_or.at(masks[0], langid.slots_of(codes, k), 1 << b)
     f = langid.Filters(["de", "en", "fr"], masks, np.zeros(3), np.ones(3) / 3)
     mixed = [*texts, "the Hund", "", "42 !?", "A", "x" * 200_000]
     hits, total, letters = f.counts(mixed)
