@@ -11,7 +11,20 @@ from kinweave.llm.linededup import dedup_lines
 from kinweave.llm.packing import pack_documents
 from kinweave.llm.quality import fit_quality, score_quality
 from kinweave.llm.queries import TOKENIZER
-from kinweave.llm.shared import stage
+from kinweave.llm.shared import drop, stage
+
+
+#: What operators read; other columns of a table pass by under names that clash with none of theirs.
+READ = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def hidden(docs: DataFrame) -> DataFrame:
+    return docs.select([F.col(f"`{c}`").alias(c if c in READ else f"__other_{i}") for i, c in enumerate(docs.columns)])
+
+
+def shown(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again."""
+    return out.select([F.col(c if c in READ else f"__other_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +33,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Texts without a word, and all documents where no classifier can be learned,
     stay; rows that repeat a doc_id are judged one by one.
     """
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).filter("keep").select(docs.columns)
+    rows = hidden(docs)
+    model = fit_quality(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return shown(score_quality(rows, model).filter("keep"), docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +43,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null; a document that loses every line stays with an empty text.
     """
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    out = dedup_lines(hidden(docs))
+    return shown(out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))), docs)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group that five-word shingles link at a similarity of 0.8.
 
-    Documents without words have no copies and stay; rows that repeat a doc_id
-    are one document, and stay or go together.
+    Documents without words have no copies and stay. Rows that repeat a doc_id
+    are judged by their texts; rows equal in both are one document, and stay or
+    go together; a null doc_id is the smallest.
     """
-    out = jaccard_components(docs, n=5, percent=80)
-    return out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(docs.columns)
+    out = jaccard_components(hidden(docs), n=5, percent=80)
+    return shown(out.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +82,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, function) in enumerate(STAGES):
-        docs = function(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stage(docs, "stage")
+        out = function(spark, docs, sf_dir)
+        if i == len(STAGES) - 1:
+            return out  # read when it is evaluated, so what it reads stays
+        docs = stage(out, "stage")
+        if before is not None:
+            drop(before)
+        before = docs
     return docs
