@@ -248,3 +248,18 @@ def full_features(df: DataFrame, q: str = "q_", t: str = "t_") -> DataFrame:
     df = df.withColumns(out)
     has_alt = (alt[0] != "") | (alt[1] != "")
     return df.withColumn("nalt_tset", F.when(has_alt, F.greatest("n_tset", "nalt_raw")).otherwise(F.col("n_tset"))).drop("nalt_raw")
+
+
+#: How close a pair's target is to the query's look-alike, and how much closer to the query.
+LOOK_ALIKE = ["nn_cos", "nn_nc_tset", "nn_a_tset", "nn_a_ratio", "nn_nums_seq", "nn_num_rel", "nc_margin", "a_margin", "num_margin"]
+
+
+def look_alike_features(df: DataFrame, t: str = "t_", nn: str = "nn_") -> DataFrame:
+    """df of pairs with nc_tset, a_tset, num_rel and nn_cos gets the other eight features of LOOK_ALIKE.
+
+    The target's and the look-alike's name_core, addr_n and nums are prefixed by
+    t and nn; a query without a look-alike has '' there.
+    """
+    c = lambda name: (F.col(nn + name), F.col(t + name))
+    df = df.withColumns({"nn_nc_tset": token_set(*c("name_core")), "nn_a_tset": token_set(*c("addr_n")), "nn_a_ratio": ratio(*c("addr_n")), "nn_nums_seq": agree(*c("nums")), "nn_num_rel": number_relation(*c("nums"))})
+    return df.withColumns({"nc_margin": F.col("nc_tset") - F.col("nn_nc_tset"), "a_margin": F.col("a_tset") - F.col("nn_a_tset"), "num_margin": F.col("num_rel") - F.col("nn_num_rel")})

@@ -323,6 +323,11 @@ def full_text(name: Column, address: Column) -> Column:
     return F.concat_ws(" ", filled(name), filled(address))
 
 
+def record_text(name: Column, address: Column, country: Column) -> Column:
+    """A record as one text for a pair scorer: name | address | country."""
+    return F.concat_ws(" | ", filled(name), filled(address), filled(country))
+
+
 def human_bytes(c: Column) -> Column:
     """12.0 KB and the like."""
     units = ["B", "KB", "MB", "GB", "TB"]
@@ -332,9 +337,9 @@ def human_bytes(c: Column) -> Column:
     return out
 
 
-def examples(c: Column, most: int = 5) -> Column:
-    """The first few distinct values in order (an aggregate)."""
-    return F.slice(F.sort_array(F.collect_set(c)), 1, most)
+def normalized_name(c: Column, fold=base_norm) -> Column:
+    """A name's normalization without a learned dictionary."""
+    return translate_words(strip_honorifics(fix_digits(strip_website(c, fold(c)))), lx.NAME_WORDS)
 
 
 def normalized_record(df, name: str = "business_name", address: str = "business_address", country: str = "country", translate: dict[str, str] | None = None, states: dict[str, str] | None = None, fold=base_norm):

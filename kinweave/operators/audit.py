@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import examples
-
 FIELDS = ("entity_id", "business_name", "business_address", "country")
 HEADERS = {"matched_entity_ids": "matching", "candidate_entity_ids": "candidate"}
 
 
-def audit_source(records: DataFrame, prefix: str) -> DataFrame:
-    """One row: rows, distinct and repeated ids, wrong prefixes, missing values per field. Repeated counts ids, not rows."""
-    by_id = records.groupBy("entity_id").agg(F.count("*").alias("n"), *[F.count_if(F.trim(F.coalesce(c, F.lit(""))) == "").alias(f"m_{c}") for c in FIELDS])
-    return by_id.agg(
+def audit_source(records: DataFrame, prefix: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
+    """Rows, distinct and repeated ids, wrong prefixes, missing values per field: one row, or one per group of the columns `per`. Repeated counts ids, not rows.
+
+    The right prefix is given, or is `S<src>-` of the row's own src.
+    """
+    missing = [F.count_if(F.trim(F.coalesce(c, F.lit(""))) == "").alias(f"m_{c}") for c in FIELDS]
+    head = F.lit(prefix) if prefix is not None else F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"))
+    by_id = records.groupBy(*per, "entity_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("entity_id"), F.lit("")).startswith(head)).alias("bad"), *missing)
+    return by_id.groupBy(*per).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_ids"), F.count_if(F.col("n") > 1).alias("n_repeated"),
-        F.coalesce(F.sum(F.when(~F.col("entity_id").startswith(prefix), F.col("n"))), F.lit(0)).alias("n_bad_prefix"), *[F.coalesce(F.sum(f"m_{c}"), F.lit(0)).alias(f"missing_{c}") for c in FIELDS],
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad_prefix"), *[F.coalesce(F.sum(f"m_{c}"), F.lit(0)).alias(f"missing_{c}") for c in FIELDS],
     )
 
 
+def first_examples(rows: DataFrame, by: str, x: str, most: int = 5) -> DataFrame:
+    """(by, n, examples): rows of each group and the first few distinct values in order.
+
+    Values are made distinct and ranked under a window group limit, so only
+    `most` of each task meet, however many there are.
+    """
+    counts = rows.groupBy(by, x).agg(F.count("*").alias("n"))
+    first = counts.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(x))).filter(F.col("r") <= most)
+    listed = first.groupBy(by).agg(F.sort_array(F.collect_list(x)).alias("examples"))
+    return counts.groupBy(by).agg(F.sum("n").alias("n")).join(listed, by).select(by, "n", "examples")
+
+
 def histogram(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))
 
@@ -76,24 +91,21 @@ def violations(parsed: DataFrame, required: DataFrame, known: DataFrame | None =
     required (entity_id) lists the S1 ids that must each have one row; known
     (entity_id), if given, lists all valid ids.
     """
-    rows = parsed.filter("has_tab")
-    ids = rows.select("entity", F.explode("ids").alias("id"))
-    broken = [
-        ("no tab", parsed.filter(~F.col("has_tab")).select("entity")),
-        ("repeated row", rows.groupBy("entity").count().filter("count > 1").select("entity")),
-        ("repeated id in a list", rows.filter(F.size("ids") != F.size(F.array_distinct("ids"))).select("entity")),
-        ("self match", ids.filter(F.col("id").startswith("S1-")).select("id")),
-        ("wrong prefix", ids.filter(~F.col("id").rlike("^S[123]-")).select("id")),
-        ("missing row", required.select("entity_id").join(rows, F.col("entity_id") == F.col("entity"), "left_anti").select("entity_id")),
-        ("extra row", rows.join(required.select("entity_id"), F.col("entity_id") == F.col("entity"), "left_anti").select("entity")),
-    ]
+    # one pass over the file gives every rule that looks at a row alone
+    tab, i = F.col("has_tab"), lambda c: F.filter("ids", c)
+    of_row = lambda rule, when: F.when(when, F.array(F.struct(F.lit(rule).alias("rule"), F.col("entity").alias("x"))))
+    of_ids = lambda rule, c: F.when(tab, F.transform(i(c), lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("x"))))
+    found = [of_row("no tab", ~tab), of_row("repeated id in a list", tab & (F.size("ids") != F.size(F.array_distinct("ids")))), of_ids("self match", lambda x: x.startswith("S1-")), of_ids("wrong prefix", lambda x: ~x.rlike("^S[123]-"))]
+    out = parsed.select(F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("f")).select("f.rule", "f.x")
+    # another compares the rows with the entities that must be there
+    sides = parsed.filter(tab).select("entity", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(required.select("entity_id", F.lit(0), F.lit(1)))
+    rows = sides.groupBy("entity").agg(F.sum("a").alias("a"), F.max("b").alias("b"))
+    per_row = F.array_compact(F.array(F.when(F.col("a") > 1, F.struct(F.lit("repeated row").alias("rule"), F.lit(1).alias("n"))), F.when(F.col("a") == 0, F.struct(F.lit("missing row").alias("rule"), F.lit(1).alias("n"))), F.when(F.col("b") == 0, F.struct(F.lit("extra row").alias("rule"), F.col("a").cast("int").alias("n")))))
+    out = out.unionAll(rows.select(F.explode(per_row).alias("f"), "entity").select(F.col("f.rule").alias("rule"), F.explode(F.sequence(F.lit(1), "f.n")).alias("i"), "entity").select("rule", F.col("entity").alias("x")))
     if known is not None:
-        broken.append(("unknown id", ids.filter(F.col("id").rlike("^S[23]-")).join(known.select("entity_id"), F.col("id") == F.col("entity_id"), "left_anti").select("id")))
-    out = None
-    for rule, df in broken:
-        one = df.toDF("x").select(F.lit(rule).alias("rule"), "x")
-        out = one if out is None else out.union(one)
-    return out.groupBy("rule").agg(F.count("*").alias("n"), examples(F.col("x")).alias("examples"))
+        ids = parsed.filter(tab).select(F.explode("ids").alias("id")).filter(F.col("id").rlike("^S[23]-"))
+        out = out.unionAll(ids.join(known.select("entity_id"), F.col("id") == F.col("entity_id"), "left_anti").select(F.lit("unknown id"), "id"))
+    return first_examples(out, "rule", "x")
 
 
 def outside_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -24,10 +24,11 @@ def normalised(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
-def exact_knn(queries: DataFrame, targets: DataFrame, k: int, by: list[str], q: str = "q", t: str = "t", v: str = "v", apart: bool = False, block: int = 8192) -> DataFrame:
+def exact_knn(queries: DataFrame, targets: DataFrame, k: int, by: list[str], q: str = "q", t: str = "t", v: str = "v", apart: bool = False, block: int = 8192, floor: float | None = None) -> DataFrame:
     """(by..., q, t, score, rank): the k targets of largest inner product per query and group; ties by t.
 
-    apart leaves out targets whose id equals the query's. A group is dealt into
+    apart leaves out targets whose id equals the query's; scores below floor do
+    not count. A group is dealt into
     blocks of about `block` rows by hash, so none is bound to one task.
     """
     sizes = targets.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("__tb"))
@@ -40,6 +41,8 @@ def exact_knn(queries: DataFrame, targets: DataFrame, k: int, by: list[str], q:
     kinds = {f.name: f.dataType for f in left.schema}
     out = ", ".join([*(f"{c} {kinds[c].simpleString()}" for c in by), f"q {kinds['q'].simpleString()}", f"t {right.schema['t'].dataType.simpleString()}", "score double"])
 
+    least = -np.inf if floor is None else floor
+
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({c: pd.Series(dtype=object) for c in [*by, "q", "t", "score"]})
         if not len(a) or not len(b):
@@ -57,10 +60,10 @@ def exact_knn(queries: DataFrame, targets: DataFrame, k: int, by: list[str], q:
             # the k-th best score decides; ties at it go by id
             edge = np.partition(score, len(ids) - most, axis=1)[:, len(ids) - most]
             for i in range(len(some)):
-                near = np.flatnonzero((score[i] >= edge[i]) & (score[i] > -np.inf))
+                near = np.flatnonzero((score[i] >= edge[i]) & (score[i] > -np.inf) & (score[i] >= least))
                 near = near[np.lexsort((near, -score[i][near]))[:most]]
-                parts.append(pd.DataFrame({"q": names[i], "t": ids[near], "score": score[i][near]}))
-        found = pd.concat(parts, ignore_index=True)
+                parts.append((np.repeat(names[i : i + 1], len(near)), ids[near], score[i][near]))
+        found = pd.DataFrame({c: np.concatenate([p[j] for p in parts]) for j, c in enumerate(("q", "t", "score"))})
         for c in by:
             found[c] = a[c].iloc[0]
         return found[[*by, "q", "t", "score"]]

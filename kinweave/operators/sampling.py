@@ -109,3 +109,19 @@ def mined_negatives(scored: DataFrame, floor: float = 0.01, most: int = 10) -> D
     """Of each query the `most` negatives that a warm model finds likeliest, from `floor` up."""
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("p"), "t"))
     return scored.filter((F.col("label") == 0) & (F.col("p") >= floor)).withColumn("__r", rank).filter(F.col("__r") <= most).drop("__r")
+
+
+def pool_composition(pool: DataFrame) -> DataFrame:
+    """(split, src, kind, n) of a pool's rows, with sums over kinds (null kind) and sources (null src)."""
+    return pool.rollup("split", "src", "kind").agg(F.count("*").alias("n")).filter("split is not null")
+
+
+def merged_pools(pool: DataFrame, extra: DataFrame, key: str = "entity_id") -> DataFrame:
+    """A stress pool: pool's rows and extra's; of a key in both, extra's row counts."""
+    return pool.join(extra.select(key), key, "left_anti").unionByName(extra)
+
+
+def dictionary_part(truth: DataFrame, sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """truth (q, t) of the sampled entities (q), and of the others, from which alone dictionaries may be learned."""
+    ids = sample.select("q").distinct()
+    return truth.join(ids, "q", "left_semi"), truth.join(ids, "q", "left_anti")

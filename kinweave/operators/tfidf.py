@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-from functools import lru_cache
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,36 +51,152 @@ def weighted_jaccard(pairs: DataFrame, left: DataFrame, right: DataFrame, name:
     return out.withColumn(name, F.coalesce(F.try_divide(F.col("both"), F.col("sq") + F.col("st") - F.col("both")), F.lit(0.0))).drop("sq", "st", "both")
 
 
-@lru_cache(2)
-def _projection(buckets: int, dim: int, seed: int) -> np.ndarray:
-    return (np.random.default_rng(seed).standard_normal((buckets, dim)) / np.sqrt(dim)).astype(np.float32)
+# --- fitted text vectors -------------------------------------------------------
 
+_U = np.uint64
+_MIX = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
-def embedder(idf: dict[int, float] | None = None, dim: int = 128, buckets: int = 1 << 14, seed: int = 42):
-    """An Arrow UDF from text to a unit vector: character 3- and 4-grams in words, hashed, weighted, projected by a fixed random matrix.
 
-    A projection of fixed seed stands in for a fitted one, so vectors of
-    different runs agree; an empty text has the zero vector.
+def hashed_grams(texts: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character 3- and 4-grams inside words framed by spaces, hashed: row, bucket and count, sorted by row; whole batches at once.
+
+    A word of one letter, too short for a 4-gram, counts its 3-gram twice.
+    """
+    framed = [f" {' '.join((t or '').lower().split())} " for t in texts]
+    points = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row_of = np.repeat(np.arange(len(texts)), [len(f) for f in framed])
+    rows, codes = [], []
+    for n in (3, 4):
+        if len(points) < n:
+            continue
+        part = [points[i : len(points) - n + 1 + i] for i in range(n)]
+        inside = np.all([p != 32 for p in part[1:-1]], axis=0)  # framing spaces of two texts never meet inside a gram
+        code = sum(p * m for p, m in zip(part, _MIX, strict=False)) + _U(n)
+        at = np.flatnonzero(inside)
+        rows.append(row_of[at])
+        codes.append(code[at])
+        if n == 3:
+            alone = at[(part[0][at] == 32) & (part[2][at] == 32)]
+            rows.append(row_of[alone])
+            codes.append(code[alone])
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    code = np.concatenate(codes)
+    code = (code ^ (code >> _U(29))) * _MIX[1]
+    key, count = np.unique(np.concatenate(rows) * buckets + ((code >> _U(33)) % _U(buckets)).astype(np.int64), return_counts=True)
+    return key // buckets, key % buckets, count
+
+
+@dataclass
+class Embedder:
+    """idf of each bucket, and the components (buckets x dim) of the fitted space."""
+
+    idf: np.ndarray
+    components: np.ndarray
+
+    @property
+    def buckets(self) -> int:
+        return len(self.idf)
+
+    def weights(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, bucket and TF-IDF weight (sublinear, rows of length 1) of each text's grams."""
+        row, bucket, count = hashed_grams(texts, self.buckets)
+        w = (1 + np.log(np.maximum(count, 1))) * self.idf[bucket]
+        norm = np.sqrt(np.bincount(row, weights=w * w, minlength=len(texts)))
+        return row, bucket, w / np.maximum(norm[row], 1e-300)
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        """Unit vectors; a text without grams has the zero vector."""
+        out = project(self.weights(texts), self.components, len(texts))
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)
+
+
+def project(sparse: tuple[np.ndarray, np.ndarray, np.ndarray], matrix: np.ndarray, n: int) -> np.ndarray:
+    """A sparse matrix of n rows, sorted by row, times a dense one."""
+    row, bucket, w = sparse
+    out = np.zeros((n, matrix.shape[1]))
+    edges = np.searchsorted(row, np.arange(n + 1))
+    for i in range(n):
+        lo, hi = edges[i], edges[i + 1]
+        if hi > lo:
+            out[i] = w[lo:hi] @ matrix[bucket[lo:hi]]
+    return out
+
+
+def fit_embedder(docs: DataFrame, dim: int = 128, buckets: int = 1 << 14, sample: int = 400_000, passes: int = 4, seed: int = 42) -> Embedder:
+    """Hashed TF-IDF and truncated SVD of the texts, by a randomized range finder.
+
+    docs has text. At most about `sample` texts, by a hash, are fitted on; each
+    pass multiplies them by a (buckets x dim + 10) matrix on the executors, so
+    only matrices of that size reach the driver, in parts.
     """
+    spark, one = docs.sparkSession, 1 << 30
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    share = int(min(1.0, sample / max(1, texts.count())) * one)
+    texts = texts.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(one)) < share)
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(buckets, np.int64), 0
+        for batch in batches:
+            _, bucket, _ = hashed_grams(batch.column("text").to_pylist(), buckets)
+            total += np.bincount(bucket, minlength=buckets)
+            n += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+
+    found = texts.mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    n = int(found.loc[found["bucket"] < 0, "n"].sum())
+    held = np.zeros(buckets)
+    held[found.loc[found["bucket"] >= 0, "bucket"]] = found.loc[found["bucket"] >= 0, "n"]
+    idf = np.log((1 + n) / (1 + held)) + 1
+    wide = min(buckets, dim + 10)
+
+    def gathered(step, height: int) -> np.ndarray:
+        """The sum over all tasks of step's matrices, merged part by part."""
+        size = max(1, height // 16)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((height, wide))
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    step(batch.column("text").slice(lo, 512).to_pylist(), total)
+            parts = range(0, height, size)
+            yield pa.RecordBatch.from_arrays([pa.array([p // size for p in parts], pa.int32()), pa.array([total[p : p + size].tobytes() for p in parts], pa.binary())], names=["part", "m"])
+
+        def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = sum(np.frombuffer(m) for pdf in frames for m in pdf["m"])
+            yield pd.DataFrame({"part": [key[0]], "m": [total.tobytes()]})
+
+        rows = texts.mapInArrow(run, "part int, m binary").groupBy("part").applyInPandas(add, "part int, m binary").collect()
+        return np.concatenate([np.frombuffer(r["m"]) for r in sorted(rows, key=lambda r: r["part"])]).reshape(height, wide) if rows else np.zeros((height, wide))
+
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((buckets, wide)))[0]
+    for _ in range(passes):
+        shared = spark.sparkContext.broadcast(Embedder(idf, basis))
+
+        def power(texts: list[str], total: np.ndarray, shared=shared) -> None:
+            model = shared.value
+            row, bucket, w = model.weights(texts)
+            np.add.at(total, bucket, w[:, None] * project((row, bucket, w), model.components, len(texts))[row])
+
+        basis = np.linalg.qr(gathered(power, buckets))[0]
+    shared = spark.sparkContext.broadcast(Embedder(idf, basis))
+
+    def gram(texts: list[str], total: np.ndarray) -> None:
+        y = project(shared.value.weights(texts), shared.value.components, len(texts))
+        total += y.T @ y
+
+    values, vectors = np.linalg.eigh(gathered(gram, wide))
+    return Embedder(idf, basis @ vectors[:, np.argsort(-values)[:dim]])
+
+
+def encoder(model: Embedder):
+    """An Arrow UDF from text to the model's unit vector."""
 
     @F.pandas_udf("array<float>")
     def encode(texts: pd.Series) -> pd.Series:
-        matrix, out = _projection(buckets, dim, seed), []
-        for text in texts:
-            counts: dict[int, int] = {}
-            for w in (text or "").lower().split():
-                w = f" {w} "
-                for n in (3, 4):
-                    for i in range(max(1, len(w) - n + 1)):
-                        h = zlib.crc32(w[i : i + n].encode()) % buckets
-                        counts[h] = counts.get(h, 0) + 1
-            rows = np.fromiter(counts, np.int64, len(counts))
-            weight = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
-            if idf is not None:
-                weight *= np.array([idf.get(int(r), 1.0) for r in rows])
-            v = weight @ matrix[rows] if len(rows) else np.zeros(dim)
-            norm = np.linalg.norm(v)
-            out.append((v / norm if norm else v).astype(np.float32).tolist())
-        return pd.Series(out)
+        out = [model.encode(texts.iloc[lo : lo + 512].tolist()) for lo in range(0, len(texts), 512)]
+        return pd.Series(list(np.concatenate(out).astype(np.float32)) if out else [])
 
     return encode

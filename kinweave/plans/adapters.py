@@ -1,7 +1,7 @@
 """Views of the driver's tables as record-linkage inputs, in Spark and in SQL.
 
 rec: documents as records of three sources; the first eight words are the name
-and all others the address; records with the same text are true matches.
+and the next twelve the address; records with the same text are true matches.
 edges: orders as entities; line items as scored links, returned ones true.
 vec: embeddings as vectors of three sources, grouped by label.
 """
@@ -21,13 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rec(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("w", words(F.coalesce("text", F.lit(""))))
     src = (F.pmod("doc_id", F.lit(3)) + 1).cast("int")
-    rest = F.when(F.size("w") > 8, F.slice("w", F.lit(9), F.greatest(F.size("w") - 8, F.lit(0)))).otherwise(F.array().cast("array<string>"))
-    return d.select(src.alias("src"), F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.col("doc_id").alias("line_idx"), F.array_join(F.slice("w", 1, 8), " ").alias("business_name"), F.array_join(rest, " ").alias("business_address"), F.col("lang").alias("country"), F.md5(F.trim(F.lower("text"))).alias("copy"))
+    return d.select(src.alias("src"), F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.col("doc_id").alias("line_idx"), F.array_join(F.slice("w", 1, 8), " ").alias("business_name"), F.array_join(F.slice("w", 9, 12), " ").alias("business_address"), F.col("lang").alias("country"), F.md5(F.trim(F.lower("text"))).alias("copy"))
 
 
 REC = r"""rec AS (
     SELECT (doc_id % 3 + 1)::INTEGER AS src, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, doc_id AS line_idx,
-        array_to_string(w[1:8], ' ') AS business_name, coalesce(array_to_string(w[9:], ' '), '') AS business_address, lang AS country, md5(trim(lower(text))) AS copy
+        array_to_string(w[1:8], ' ') AS business_name, coalesce(array_to_string(w[9:20], ' '), '') AS business_address, lang AS country, md5(trim(lower(text))) AS copy
     FROM (SELECT *, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents)
 )"""
 

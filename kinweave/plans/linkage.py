@@ -100,11 +100,12 @@ def name_profile(queries: DataFrame, targets: DataFrame, missed: DataFrame, comm
     return share.crossJoin(F.broadcast(missed.agg(F.percentile("p", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("quantiles"))))
 
 
-def validate(spark: SparkSession, matching: str, candidate: str | None, s1: DataFrame, targets: DataFrame | None = None) -> tuple[list[str], list[str]]:
+def validate(spark: SparkSession, matching: str, candidate: str | None, s1: DataFrame, targets: DataFrame | None = None, strict: bool = False) -> tuple[list[str], list[str]]:
     """Errors and warnings of result files; a file is valid if there are no errors.
 
-    Matches outside the candidates, an absent candidate file and unchecked ids
-    are warnings; all rules of audit.violations are errors.
+    All rules of audit.violations, unreadable files, wrong headers and lines
+    that are not UTF-8 are errors. An absent candidate file and unchecked ids
+    are warnings, and so are matches outside the candidates unless strict.
     """
     errors, warnings, parsed = [], [], {}
     if targets is None:
@@ -116,8 +117,12 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, s1: Data
         try:
             lines = spark.read.text(path)
             head = lines.first()
-        except Exception as e:  # a missing or unreadable file is a finding, not a crash
-            errors.append(f"{path}: {type(e).__name__}")
+        except Exception:  # a missing or unreadable file is a finding, not a crash
+            errors.append(f"{path}: cannot be read")
+            continue
+        broken = lines.filter(~F.is_valid_utf8("value")).count()
+        if broken:
+            errors.append(f"{path}: not valid UTF-8 in {broken} lines")
             continue
         wrong = audit.check_header(head["value"] if head else None, column)
         if wrong:
@@ -130,7 +135,7 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, s1: Data
     if len(parsed) == 2:
         n = audit.outside_candidates(*parsed.values()).count()
         if n:
-            warnings.append(f"{n} matches are not among the candidates")
+            (errors if strict else warnings).append(f"{n} matches are not among the candidates")
     return errors, warnings
 
 

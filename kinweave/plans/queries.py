@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,26 +12,7 @@ from ..operators import audit, blocking, decide, evaluate, knn, learn, sampling,
 from ..sources import tsv
 from . import adapters as ad
 from .adapters import EDGES, REC, REC_TRUTH, SCORES, VEC
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """df with its doubles rounded, so that the order of a sum does not show."""
-    return df.withColumns({c: F.round(c, digits) for c, kind in df.dtypes if kind == "double"})
-
+from .registry import ORACLE_SQL, QUERIES, query, rounded
 
 def _list(items: list[str]) -> str:
     return "[" + ", ".join(f"'{x}'" for x in items) + "]"
@@ -152,9 +131,7 @@ def _pairs(r: DataFrame, version: int, routes: tuple[str, ...] = blocking.ROUTES
         count(*) FILTER (WHERE trim(coalesce(business_address, '')) = '') AS c, count(*) FILTER (WHERE trim(coalesce(country, '')) = '') AS d FROM rec GROUP BY src, entity_id) GROUP BY src"""
 )
 def audit_source(spark: SparkSession, d: str) -> DataFrame:
-    r = ad.rec(spark, d)
-    parts = [audit.audit_source(r.filter(F.col("src") == s), f"S{s}-").withColumn("src", F.lit(s)) for s in (1, 2, 3)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return audit.audit_source(ad.rec(spark, d), per=("src",))
 
 
 @query(f"WITH {REC} SELECT src, country, count(*) AS n FROM rec GROUP BY src, country")
@@ -242,19 +219,12 @@ def normalized_names(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("name_core", core).withColumn("acronym", tx.acronym(F.col("name_core")))
 
 
-@query()
-def normalized_records(spark: SparkSession, d: str) -> DataFrame:
-    return tx.normalized_record(ad.rec(spark, d)).drop("business_name", "business_address", "copy")
-
-
 @query("WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), f AS (SELECT p_partkey, ' ' || w || ' ' AS w FROM w WHERE w <> ''), g AS (SELECT p_partkey, substr(w, i, n) AS gram FROM f, (VALUES (2), (3), (4)) v(n), range(1, 64) r(i) WHERE i <= greatest(length(w) - n + 1, 1)) SELECT p_partkey, gram, count(*) AS n FROM g GROUP BY ALL")
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     grams = ad.table(spark, d, "part").select("p_partkey", F.explode(tx.char_wb(F.col("p_name"), 2, 4)).alias("gram"))
     return grams.groupBy("p_partkey", "gram").agg(F.count("*").alias("n"))
 
 
-
-
 # --- blocking ---------------------------------------------------------------
 
 
@@ -350,11 +320,6 @@ def addr_key_join(spark: SparkSession, d: str) -> DataFrame:
     return _rare(ad.rec(spark, d), F.transform(long, lambda w: F.concat(F.lit("W"), w)), 20)
 
 
-@query()
-def phonetic_keys(spark: SparkSession, d: str) -> DataFrame:
-    return ad.rec(spark, d).select("entity_id", F.explode(tx.phonetic_tokens(tx.base_norm_ascii(F.col("business_name")))).alias("key"))
-
-
 @query(rf"SELECT entity_id, unnest(flatten(list_transform(n, lambda x: list_transform(a, lambda y: x || '|' || y)))) AS key FROM (WITH {REC} SELECT entity_id, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(business_name), '\s+'), lambda w: length(w) >= 3)) AS w, unnest(range(1000)) AS i) WHERE w IS NOT NULL GROUP BY w))[1:4] AS n, (SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(business_address), '\s+'), lambda w: length(w) >= 4 AND regexp_matches(w, '^\p{{L}}+$'))) AS w, unnest(range(100000)) AS i) WHERE w IS NOT NULL GROUP BY w))[1:12] AS a FROM rec)")
 def name_addr_keys(spark: SparkSession, d: str) -> DataFrame:
     return ad.rec(spark, d).select("entity_id", F.explode(tx.name_address_keys(F.lower("business_name"), F.lower("business_address"))).alias("key"))
@@ -627,38 +592,6 @@ def levenshtein_sim(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_part_pairs(spark, d).select("k", sim.levenshtein_sim(F.col("a"), F.col("b")).alias("sim")))
 
 
-@query()
-def token_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_part_pairs(spark, d).select("k", sim.ratio("a", "b").alias("ratio"), sim.token_sort("a", "b").alias("token_sort"), sim.token_set("a", "b").alias("token_set"), sim.partial("a", "b").alias("partial")))
-
-
-@query()
-def pair_features_v1(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sim.pair_features_v1(_rec_pairs(spark, d)).drop("q_name", "q_address", "t_name", "t_address", "t_id"))
-
-
-@query()
-def pair_features_v2(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(sim.pair_features_v2(_rec_pairs(spark, d)).drop("q_name", "q_address", "t_name", "t_address", "t_id"))
-
-
-@query()
-def composite_rank(spark: SparkSession, d: str) -> DataFrame:
-    df = _rec_pairs(spark, d).withColumns({"len_diff": F.abs(F.length("q_name") - F.length("t_name")), "tie": tx.tie_break(F.col("t_name"), F.col("t_address"), F.col("t"))})
-    scored = sim.composite_rank(df).withColumn("rule", sim.rule_score(df))
-    return blocking.top_k_v2(scored, 50).select("q", "t", "score", "rank", "rank_v1", "rule")
-
-
-@query()
-def full_pair_features(spark: SparkSession, d: str) -> DataFrame:
-    p = ad.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("business_name"), F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_type").alias("business_address"), F.col("p_brand").alias("country"))
-    r = tx.normalized_record(p).drop("business_name", "business_address", "country")
-    a = r.select(F.col("p_partkey").alias("k"), *[F.col(c).alias(f"q_{c}") for c in r.columns if c != "p_partkey"])
-    b = r.select((F.col("p_partkey") - 1).alias("k"), *[F.col(c).alias(f"t_{c}") for c in r.columns if c != "p_partkey"])
-    out = sim.full_features(a.join(b, "k"))
-    return rounded(out.select("k", *[c for c in out.columns if c[:2] not in ("q_", "t_") and c != "k"]))
-
-
 _PART_TOKENS = "tok AS (SELECT p_partkey, w FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> '')"
 
 
@@ -758,25 +691,7 @@ def mine_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     return sampling.mined_negatives(ad.scored(spark, d), 0.01, 2).select("q", "t")
 
 
-_FEATURES = ["p_rank", "p_gap", "p_rel", "p_sum", "n_kept", "n_hi", "p_2nd", "is_s3"]
-
-
-@query()
-def gbt_oof(spark: SparkSession, d: str) -> DataFrame:
-    pairs = sampling.folds(decide.competitors(ad.scored(spark, d)), 2, 42)
-    return learn.out_of_fold(pairs, _FEATURES, iterations=5).select("q", "t", "label", "fold", "p")
-
-
-@query()
-def tuned_decision(spark: SparkSession, d: str) -> DataFrame:
-    s = ad.scored(spark, d)
-    best = decide.tune(ad.entities(spark, d), s.filter("label = 1").select("q", "t"), s)
-    return spark.createDataFrame([tuple(best[k] for k in (*decide.SETTINGS, "macro_f05"))], "one_to_one boolean, t_match double, t_empty double, alpha double, macro_f05 double")
-
-
-@query()
-def text_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return ad.table(spark, d, "part").select("p_partkey", tfidf.embedder(dim=32)(F.col("p_name")).alias("v"))
-
-
+# the rest of the queries, which use what is above
+from . import features, flows  # noqa: E402, F401
 
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,27 +13,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FIELDS = ["entity_id", "business_name", "business_address", "country"]
+#: How result files are written: values as they are, with a header.
+TSV = {"sep": "\t", "quote": "", "emptyValue": "", "header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in FIELDS])
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share; it goes when the application ends.
+
+    Only where the setting is absent and Spark runs in one process is a folder
+    of this machine taken instead.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"kinweave-{os.getpid()}")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 def read_positional(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
-    """The first four columns by position; short rows are padded with '', the header line is dropped, extra columns are counted in n_extra.
+    """The first four columns by position; short rows are padded with '', each file's header line is dropped, extra columns are counted in n_extra.
 
-    numbered adds line_idx, 0 for the first row after the header, in file order.
+    numbered adds line_idx, 0 for the first row after the header, in the order
+    of file names and lines: lines are counted in each split of a file, and what
+    precedes a split is one small row per split.
     """
-    lines = spark.read.text(path).withColumn("__at", F.monotonically_increasing_id())
-    first = lines.orderBy("__at").limit(1).select(F.col("__at").alias("__head"))
-    rows = lines.join(F.broadcast(first), F.col("__at") == F.col("__head"), "left_anti")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    heads = lines.filter("__block = 0").groupBy("__file").agg(F.min("__at").alias("__at"))  # one row per file
+    rows = lines.join(F.broadcast(heads.select("__at")), "__at", "left_anti")
     parts = F.split(F.regexp_replace("value", r"[\r\n]+$", ""), "\t", -1)
-    out = rows.select("__at", *[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f) for i, f in enumerate(FIELDS)], F.greatest(F.size(parts) - 4, F.lit(0)).alias("n_extra"))
+    out = rows.select("__at", "__file", "__block", *[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f) for i, f in enumerate(FIELDS)], F.greatest(F.size(parts) - 4, F.lit(0)).alias("n_extra"))
     if numbered:
-        part = F.shiftright("__at", 33)
-        sizes = out.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
-        before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = sizes.select("__p", before.alias("__b"))
-        within = F.row_number().over(Window.partitionBy("__p").orderBy("__at")) - 1
-        out = out.withColumn("__p", part).join(F.broadcast(starts), "__p").withColumn("line_idx", within + F.col("__b")).drop("__p", "__b")
-    return out.drop("__at")
+        sizes = out.groupBy("__file", "__block").agg(F.count("*").alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        within = F.row_number().over(Window.partitionBy("__file", "__block").orderBy("__at")) - 1
+        out = out.withColumn("__w", within).join(F.broadcast(sizes.select("__file", "__block", before.alias("__b"))), ["__file", "__block"]).withColumn("line_idx", F.col("__w") + F.col("__b")).drop("__w", "__b")
+    return out.drop("__at", "__file", "__block")
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -39,8 +63,8 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_check(spark: SparkSession, path: str) -> DataFrame:
-    """(lines, parsed, ok): data lines of the file against parsed rows; a difference of one is allowed."""
-    lines = spark.read.text(path).agg((F.count("*") - 1).alias("lines"))
+    """(lines, parsed, ok): lines of the files but their headers against parsed rows; a difference of one is allowed."""
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_path")).agg((F.count("*") - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("lines"))
     parsed = read_tsv(spark, path).agg(F.count("*").alias("parsed"))
     return lines.crossJoin(F.broadcast(parsed)).withColumn("ok", F.abs(F.col("lines") - F.col("parsed")) <= 1)
 
@@ -74,7 +98,7 @@ def result_rows(entities: DataFrame, links: DataFrame, column: str = "matched_en
 
 def write_results(rows: DataFrame, path: str, by: str | None = None) -> None:
     """Tab-separated with a header; with `by`, one folder per value, of which a rerun replaces only its own."""
-    writer = rows.write.mode("overwrite").option("sep", "\t").option("quote", "").option("emptyValue", "").option("header", True)
+    writer = rows.write.mode("overwrite").options(**TSV)
     if by:
         writer = writer.partitionBy(by).option("partitionOverwriteMode", "dynamic")
     writer.csv(path)
@@ -89,6 +113,26 @@ def cached(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_chunks(rows: DataFrame, path: str, by: str) -> list:
+    """Write rows in one folder per value of `by`, leaving out those that are there already; returns the values written.
+
+    A value's folder appears whole or not at all, so a job that broke off goes
+    on where it stopped.
+    """
+    spark, done = rows.sparkSession, []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for value in [r[0] for r in rows.select(by).distinct().orderBy(by).collect()]:
+        where, part = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}{by}={value}") for name in ("", "_writing_"))
+        files = where.getFileSystem(conf)
+        if files.exists(where):
+            continue
+        rows.filter(F.col(by) == F.lit(value)).drop(by).write.mode("overwrite").options(**TSV).csv(part.toString())
+        if not files.rename(part, where):
+            raise OSError(f"cannot move {part.toString()}")
+        done.append(value)
+    return done
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
