@@ -314,6 +314,12 @@ def char_wb(c: Column, lo: int, hi: int) -> Column:
     return F.concat(*map(of, range(lo, hi + 1)))
 
 
+def shared_file_id(url: Column) -> Column:
+    """The id of a shared file in its address, as /d/<id>/ or id=<id>; '' if there is none."""
+    long = F.regexp_extract(filled(url), r"/d/([A-Za-z0-9_-]{10,})", 1)
+    return F.when(long != "", long).otherwise(F.regexp_extract(filled(url), r"[?&]id=([A-Za-z0-9_-]{10,})", 1))
+
+
 def tie_break(name: Column, address: Column, entity: Column) -> Column:
     """Hash that orders otherwise equal candidates."""
     return F.md5(F.concat_ws("|", F.lower(filled(name)), F.lower(filled(address)), entity))

@@ -87,16 +87,15 @@ def exploded(records: DataFrame, keys: Column, *keep: str) -> DataFrame:
 def capped_postings(pool: DataFrame, cap: int, trusted: tuple[str, ...], order: tuple[str, ...] = ("src", "line_idx")) -> DataFrame:
     """Postings (key, route, id, ...) of keys that are short enough; of trusted longer ones the first `cap`.
 
-    Sizes come from an aggregate that combines before the shuffle; only postings
-    of long trusted keys are ranked, and ranks beyond the cap are cut off before
-    the exchange by the window's group limit.
+    Sizes come from an aggregate that combines before the shuffle; other long
+    keys go before anything is ranked, and ranks beyond the cap are cut off
+    before the exchange by the window's group limit. pool is read twice and
+    should be a written table.
     """
     sizes = pool.groupBy("key").agg(F.count("*").alias("size"))
-    held = pool.join(sizes, "key")
-    short = held.filter(F.col("size") <= cap)
+    held = pool.join(sizes, "key").filter((F.col("size") <= cap) | F.col("route").isin(*trusted)).drop("size")
     position = F.row_number().over(Window.partitionBy("key").orderBy(*order))
-    long = held.filter((F.col("size") > cap) & F.col("route").isin(*trusted)).withColumn("position", position).filter(F.col("position") <= cap).drop("position")
-    return short.unionByName(long).drop("size")
+    return held.withColumn("position", position).filter(F.col("position") <= cap).drop("position")
 
 
 def block_join(queries: DataFrame, pool: DataFrame, cap: int, trusted: tuple[str, ...], q: str = "q", t: str = "t") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import similarity as sim
 from ..functions import text as tx
-from ..operators import audit, blocking, decide, evaluate, learn, sampling, tfidf
+from ..operators import audit, blocking, decide, encoder, evaluate, learn, sampling, tfidf
 from ..sources import tsv
 from . import adapters as ad
 from . import kernels as k
@@ -408,6 +408,26 @@ def second_stage(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(out["stage2"], out["per_country"], out["column"], float(out["f05"]), out["pairs"].count())], "stage2 boolean, per_country boolean, column string, f05 double, n long")
 
 
+_URL = "CASE page_id % 3 WHEN 0 THEN 'https://x.org/file/d/' || substr(md5(url), 1, 12) || '/view' WHEN 1 THEN 'https://x.org/open?a=1&id=' || substr(md5(url), 1, 15) ELSE url END"
+
+
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN substr(md5(url), 1, 12) WHEN 1 THEN substr(md5(url), 1, 15) ELSE '' END AS file_id FROM pages")
+def shared_file_ids(spark: SparkSession, d: str) -> DataFrame:
+    return ad.table(spark, d, "pages").select("page_id", tx.shared_file_id(F.expr(_URL)).alias("file_id"))
+
+
+@query(f"WITH {REC} SELECT entity_id, true AS unit FROM rec")
+def learned_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of records by an encoder trained on pairs of one text, one side of which lost every fifth word."""
+    r = ad.rec(spark, d)
+    n, a = F.col("business_name"), F.col("business_address")
+    fewer = lambda c: F.array_join(F.filter(tx.words(c), lambda w, i: i % 5 != 2), " ")
+    pairs = r.select(n.alias("q_name"), a.alias("q_address"), fewer(n).alias("t_name"), fewer(a).alias("t_address"), "country")
+    model = encoder.fit_encoder(pairs, most=2000, dim=16, bag=16, buckets=1 << 12, epochs=2)
+    v = r.select("entity_id", encoder.encode(model)("business_name", "business_address").alias("v"))
+    return v.select("entity_id", (F.abs(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-4).alias("unit"))
+
+
 @query()
 def text_vectors(spark: SparkSession, d: str) -> DataFrame:
     p = ad.table(spark, d, "part").select("p_partkey", "p_name")

@@ -36,7 +36,7 @@ def candidates(queries: DataFrame, pool: DataFrame, s: Settings) -> DataFrame:
     """Ranked candidate pairs (q, t, score, rank, features' inputs) of source records."""
     keys = lambda df: blocking.keys_v2(F.col("business_name"), F.col("business_address"), F.col("country"), s.routes)
     asked = blocking.exploded(queries, keys(queries), "entity_id").withColumnRenamed("entity_id", "q")
-    posts = blocking.exploded(pool, keys(pool), "entity_id", "src", "line_idx").withColumnRenamed("entity_id", "t")
+    posts = tsv.written(blocking.exploded(pool, keys(pool), "entity_id", "src", "line_idx").withColumnRenamed("entity_id", "t"), "postings")
     pairs = blocking.block_join(asked, posts, s.cap, blocking.TRUSTED_V2)
     side = lambda df, p: df.select(F.col("entity_id").alias(p), F.col("business_name").alias(f"{p}_name"), F.col("business_address").alias(f"{p}_address"))
     pairs = pairs.join(side(queries, "q"), "q").join(side(pool, "t"), "t")

@@ -115,7 +115,7 @@ def _keys(r: DataFrame, version: int, routes: tuple[str, ...] = blocking.ROUTES)
 
 
 def _pairs(r: DataFrame, version: int, routes: tuple[str, ...] = blocking.ROUTES) -> DataFrame:
-    k = _keys(r, version, routes)
+    k = tsv.written(_keys(r, version, routes), "keys")
     trusted = blocking.TRUSTED_V1 if version == 1 else blocking.TRUSTED_V2
     return blocking.block_join(k.filter("src = 1").withColumnRenamed("entity_id", "q"), k.filter("src > 1").withColumnRenamed("entity_id", "t"), CAP, trusted)
 
@@ -292,7 +292,7 @@ def candidate_top_k(spark: SparkSession, d: str) -> DataFrame:
 )
 def candidate_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     r = ad.rec(spark, d)
-    return rounded(evaluate.recall_at_k(ad.rec_truth(r), _ranked(r), r.filter("src = 1").select(F.col("entity_id").alias("q")), _KS))
+    return rounded(evaluate.recall_at_k(ad.rec_truth(r), tsv.written(_ranked(r).select("q", "t", "rank"), "ranked"), r.filter("src = 1").select(F.col("entity_id").alias("q")), _KS))
 
 
 # rare tokens: per source, within a country

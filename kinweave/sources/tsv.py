@@ -37,6 +37,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df through a Parquet copy in the shared folder, for what several branches of a plan read: it is computed once, and lost executors cost none of it."""
+    path = scratch(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_positional(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
     """The first four columns by position; short rows are padded with '', each file's header line is dropped, extra columns are counted in n_extra.
 
