@@ -158,6 +158,7 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray,
     calibration and one for the combination. A class's pseudo-labels must be
     wrong half as often as its share alone would make them, within the bounds
     `purity`: views of different strength both find rows that they are sure of.
+    Rows on which both views are sure, and differ, are not exchanged.
     """
     part = np.arange(len(y)) % 8
     own, sure, scale, mix = part % 2 == 1, part == 2, part == 4, part == 6
@@ -171,15 +172,16 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pool_t: np.ndarray,
         model = {v: Logistic.fit(*given[v]) for v in given}
         if turn == rounds or not len(pool_t):
             break
+        cuts = {v: _sure(model[v].margin(x[v][sure]), y[sure], wanted) for v in model}
+        margins = {v: model[v].margin(pool[v]) for v in model}
         moved = []
         for mine, other in (("text", "meta"), ("meta", "text")):
-            high, low = _sure(model[mine].margin(x[mine][sure]), y[sure], wanted)
-            m = model[mine].margin(pool[mine])
-            # as many of each class as its share among the labels, surest first
+            # as many of each class as its share among the labels, surest first; what the other view is sure is wrong stays
             take = []
-            for sign, cut, share in ((1, high, shares[0]), (-1, -low, shares[1])):
-                rows = np.flatnonzero(free[other] & (sign * m >= cut))
-                take.append(rows[np.argsort(-sign * m[rows], kind="stable")][: int(grow * share * len(pool_t)) + 1])
+            for sign, k in ((1, 0), (-1, 1)):
+                m, cut, against = sign * margins[mine], sign * cuts[mine][k], sign * cuts[other][1 - k]
+                rows = np.flatnonzero(free[other] & (m >= cut) & (sign * margins[other] > against))
+                take.append(rows[np.argsort(-m[rows], kind="stable")][: int(grow * shares[k] * len(pool_t)) + 1])
             rows, labels = np.concatenate(take), np.repeat([1.0, 0.0], [len(t) for t in take])
             free[other][rows] = False
             given[other] = (np.concatenate([given[other][0], pool[other][rows]]), np.concatenate([given[other][1], labels]))
