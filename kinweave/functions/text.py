@@ -1,7 +1,7 @@
 """Normalization, tokens and keys as column expressions.
 
-All take and return columns and stay inside Catalyst; only transliteration of
-non-Latin text is an Arrow UDF. Missing text is '' throughout.
+All take and return columns and stay inside Catalyst. Missing text is ''
+throughout.
 """
 
 from __future__ import annotations
@@ -10,10 +10,8 @@ import re
 import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import lexicon as lx
 
@@ -130,30 +128,48 @@ def _indic_letter(c: int) -> str | None:
     return "" if at in (0x3C, 0x3D, 0x4D) else None
 
 
+#: Ranges whose letters decompose into ASCII ones, letters that do not, and what has no width.
+_RANGES = [(0xA0, 0x250), (0x1E00, 0x1F00), (0x2070, 0x20A0), (0x2100, 0x2150), (0xFB00, 0xFB07), (0xFF00, 0xFF5F)]
+_LETTERS = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "Æ": "AE", "Œ": "OE", "Ø": "O", "’": "'", "‘": "'", "‌": "", "‍": ""}
+
+
+def _indic_letters() -> dict[str, str]:
+    """Letters of the Devanagari block, which stands for all Indic ones."""
+    return {chr(c): " " if letter is None else letter for c in range(0x900, 0x980) for letter in [_indic_letter(c)]}
+
+
+def _plain_letters() -> dict[str, str]:
+    """Letters outside the Indic blocks by what is left of them in ASCII; combining marks vanish."""
+    found = {chr(c): "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if ord(x) < 128) for lo, hi in _RANGES for c in range(lo, hi)}
+    marks = {chr(c): "" for c in range(0x300, 0x370)}
+    return {c: x or " " for c, x in found.items()} | marks | _LETTERS
+
+
 def to_ascii(text: str) -> str:
     """Accents off Latin letters, and Indic letters by the layout that their blocks share; the rest becomes spaces."""
     if text.isascii():
         return text
-    out = []
-    for ch in text:
-        c = ord(ch)
-        if c < 128:
-            out.append(ch)
-        elif 0x900 <= c < 0xD80:
-            letter = _indic_letter(c)
-            out.append(" " if letter is None else letter)
-        elif ch in "‌‍":
-            continue
-        else:
-            special = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l", "Æ": "AE", "Œ": "OE", "Ø": "O", "’": "'", "‘": "'"}.get(ch)
-            plain = special if special is not None else "".join(x for x in unicodedata.normalize("NFKD", ch) if ord(x) < 128)
-            out.append(plain if plain or unicodedata.combining(ch) else " ")
-    return re.sub(" +", " ", "".join(out))
-
-
-@F.pandas_udf(T.StringType())
-def transliterated(c: pd.Series) -> pd.Series:
-    return c.map(lambda x: None if x is None else to_ascii(x))
+    indic, plain = _indic_letters(), _plain_letters()
+    one = lambda ch: ch if ord(ch) < 128 else indic[chr(0x900 + (ord(ch) - 0x900) % 0x80)] if 0x900 <= ord(ch) < 0xD80 else plain.get(ch, " ")
+    return re.sub(" +", " ", "".join(map(one, text)))
+
+
+def _replaced(c: Column, table: dict[str, str]) -> Column:
+    """Characters replaced by a table: those that become one character or none in one pass, the others one by one."""
+    short = {k: v for k, v in table.items() if len(v) <= 1}
+    kept = sorted(short, key=lambda k: len(short[k]), reverse=True)  # what vanishes comes last, where there is nothing to become
+    c = F.translate(c, "".join(kept), "".join(short[k] for k in kept))
+    return reduce(lambda x, k: F.replace(x, F.lit(k), F.lit(table[k])), [k for k in table if k not in short], c)
+
+
+def transliterated(c: Column) -> Column:
+    """to_ascii as a column; text that is ASCII already passes by after one look."""
+    base = "".join(map(chr, range(0x900, 0x980)))
+    others = "".join(map(chr, range(0x980, 0xD80)))
+    indic_text = _replaced(F.translate(c, others, base * (len(others) // len(base))), _indic_letters())
+    text = F.when(c.rlike("[\\u0900-\\u0D7F]"), indic_text).otherwise(c)
+    text = F.when(text.rlike("[^\\x00-\\x7F]"), F.regexp_replace(_replaced(text, _plain_letters()), "[^\\x00-\\x7F]", " ")).otherwise(text)
+    return F.when(c.rlike("[^\\x00-\\x7F]"), F.regexp_replace(text, " +", " ")).otherwise(c)
 
 
 # --- record normalization --------------------------------------------------

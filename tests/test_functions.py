@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 import pandas as pd
@@ -107,3 +108,12 @@ def test_pair_features(spark):
 
 def test_batched_kernels_take_nulls():
     assert sim.token_set.func(pd.Series(["a", None]), pd.Series(["a", "b"])).tolist() == [100.0, 0.0]
+
+
+def test_transliteration_stays_in_the_engine_and_equals_the_rule(spark):
+    rng = random.Random(1)
+    kinds = [range(32, 127), range(0xA0, 0x250), range(0x300, 0x330), range(0x900, 0xD80), range(0x1E00, 0x1F00), [0x200C, 0x200D, 0x2019, 0x4E2D, 0x1F600, 0xFB01]]
+    rows = ["".join(chr(rng.choice(rng.choice(kinds))) for _ in range(rng.randint(0, 12))) for _ in range(2000)] + ["", "plain  two  spaces"]
+    df = spark.createDataFrame([(x,) for x in rows], "t string").select("t", tx.transliterated(F.col("t")).alias("a"))
+    assert [(r["t"], r["a"]) for r in df.collect()] == [(x, tx.to_ascii(x)) for x in rows]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
