@@ -162,6 +162,32 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE o.key IS NULL OR o.top = k.doc_id), '')) AS kept_sha256
         FROM keyed k LEFT JOIN often o ON o.key = k.key GROUP BY k.doc_id
     """,
+    "op8_blocked_product": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array({_ASCII_LOWER.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS s FROM w
+        ), k AS (
+            SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, chr(10))) AS k FROM s
+        ), sets AS (
+            SELECT k, min(doc_id) AS doc, any_value(n) AS n, any_value(s) AS s FROM k WHERE n > 0 GROUP BY k
+        ), grams AS (
+            SELECT k, n, unnest(s) AS g FROM sets
+        ), pairs AS (
+            SELECT a.k AS a, b.k AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.k < b.k AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs WHERE 100 * shared >= 90 * (na + nb - shared)
+        ), ways AS (
+            SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+        ), reach(k, o) AS (
+            SELECT k, k FROM sets UNION SELECT r.k, w.b FROM reach r JOIN ways w ON w.a = r.o
+        ), comps AS (
+            SELECT r.k, min(doc) AS least FROM reach r JOIN sets ON sets.k = r.o GROUP BY r.k
+        ), degrees AS (
+            SELECT a AS k, count(*) AS n_links FROM ways GROUP BY a
+        )
+        SELECT doc_id, n::BIGINT AS n_shingles, coalesce(least, doc_id) AS component_id, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN comps USING (k) LEFT JOIN degrees USING (k)
+    """,
     "op9_transactions": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

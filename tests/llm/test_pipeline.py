@@ -38,10 +38,10 @@ def test_stages_follow_one_another(spark):
         before, kept = rows, set(rows)
 
 
-@pytest.mark.parametrize("name", ["op3_line_runs", "op9_transactions"])
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     cur = con.execute(q.ORACLE_SQL[name])
     names = [c[0] for c in cur.description]
