@@ -111,27 +111,106 @@ def look_alike(queries: DataFrame, by: list[str], attributes: dict[str, object])
     return out.withColumns({"nn_cos": F.coalesce("nn_cos", F.lit(0.0)), **{f"nn_{a}": F.coalesce(f"nn_{a}", F.lit(d)) for a, d in attributes.items()}})
 
 
-def cell_knn(queries: DataFrame, targets: DataFrame, k: int, cells: int = 64, probes: int = 8, seed: int = 7, sample: int = 20_000) -> DataFrame:
-    """Approximate kNN (q, t, score, rank): targets in cells of k-means centres, queries in their `probes` nearest cells, exact inside.
+def in_cells(queries: DataFrame, targets: DataFrame, cells: int, probes: int, seed: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """queries and targets with `cell`: targets in the cell of their nearest k-means centre, queries once in each of their `probes` nearest.
 
     The centres come from a bounded sample of targets; every target is in a cell.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    total = targets.count()
-    some = targets.filter(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20)))
+    some = _sampled(targets, sample, seed)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="f").fit(some.select(array_to_vector(F.col("v").cast("array<double>")).alias("f")))
     centres = F.array(*[F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()])
     distance = lambda v: F.transform(centres, lambda c, i: F.struct(F.aggregate(F.zip_with(c, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d).alias("d"), i.alias("i")))
     order = lambda n: F.transform(F.slice(F.array_sort(distance(F.col("v").cast("array<double>"))), 1, n), lambda x: x["i"])
-    right = targets.withColumn("cell", F.get(order(1), F.lit(0)))
-    left = queries.withColumn("cell", F.explode(order(probes)))
+    return queries.withColumn("cell", F.explode(order(probes))), targets.withColumn("cell", F.get(order(1), F.lit(0)))
+
+
+def _sampled(targets: DataFrame, sample: int, seed: int) -> DataFrame:
+    total = targets.count()
+    return targets.filter(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1 << 20)) < int(min(1.0, sample / max(1, total)) * (1 << 20)))
+
+
+def cell_knn(queries: DataFrame, targets: DataFrame, k: int, cells: int = 64, probes: int = 8, seed: int = 7, sample: int = 20_000) -> DataFrame:
+    """Approximate kNN (q, t, score, rank): exact inside the cells that a query probes (see in_cells)."""
+    left, right = in_cells(queries, targets, cells, probes, seed, sample)
     found = exact_knn(left, right, k, ["cell"]).select("q", "t", "score")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 12).desc(), "t"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def fit_codebooks(x: np.ndarray, parts: int, codes: int = 256, rounds: int = 10, seed: int = 7) -> list[np.ndarray]:
+    """For each of `parts` slices of the components, the centres of a k-means of its own."""
+    rng, books = np.random.default_rng(seed), []
+    for own in np.array_split(x, parts, axis=1):
+        centres = own[rng.permutation(len(own))[: min(codes, len(own))]].copy()
+        for _ in range(rounds):
+            near = ((centres**2).sum(1)[None, :] - 2 * own @ centres.T).argmin(1)
+            size = np.bincount(near, minlength=len(centres))
+            total = np.zeros_like(centres)
+            np.add.at(total, near, own)
+            centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+        books.append(centres)
+    return books
+
+
+def quantise(x: np.ndarray, books: list[np.ndarray]) -> np.ndarray:
+    """One byte for each slice of each vector: the number of its nearest centre."""
+    slices = np.split(x, np.cumsum([b.shape[1] for b in books])[:-1], axis=1)
+    return np.stack([((b**2).sum(1)[None, :] - 2 * s @ b.T).argmin(1) for s, b in zip(slices, books, strict=True)], axis=1).astype(np.uint8)
+
+
+def quantised_knn(queries: DataFrame, targets: DataFrame, k: int, cells: int = 64, probes: int = 8, parts: int = 16, keep: int = 8, seed: int = 7, sample: int = 20_000, block: int = 65_536) -> DataFrame:
+    """Approximate kNN (q, t, score, rank) over an inverted file of product-quantised vectors.
+
+    In the cells that a query probes, targets are scored by their codes alone,
+    `parts` bytes each, from tables of the query's products with the centres;
+    the best keep * k of all cells are scored again on their vectors. Centres
+    and codebooks come from a bounded sample; every target is coded. A cell of
+    more than `block` targets is dealt to several tasks.
+    """
+    spark = targets.sparkSession
+    some = np.stack(_sampled(targets, sample, seed).select(F.col("v").cast("array<double>").alias("v")).toPandas()["v"].to_numpy())
+    books = spark.sparkContext.broadcast(fit_codebooks(some, parts, seed=seed))
+    left, right = in_cells(queries, targets, cells, probes, seed, sample)
+
+    @F.pandas_udf("binary")
+    def code(v: pd.Series) -> pd.Series:
+        return pd.Series([c.tobytes() for c in quantise(np.stack(v.to_numpy()).astype(float), books.value)])
+
+    coded = right.select("t", "cell", code(F.col("v").cast("array<double>")).alias("code"))
+    subs = right.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("subs"))
+    coded = coded.join(subs, "cell").withColumn("sub", F.pmod(F.xxhash64("t"), F.col("subs")).cast("int"))
+    asked = left.select("q", F.col("v").cast("array<double>").alias("v"), "cell").join(subs, "cell").withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    # names anew, since both sides come from one join with subs
+    asked, coded = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (asked, coded))
+    kinds = [queries.schema["q"].dataType.simpleString(), targets.schema["t"].dataType.simpleString()]
+
+    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(a) and len(b):
+            codes, ids = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1), b["t"].to_numpy()
+            for name, v in zip(a["q"].to_numpy(), a["v"], strict=True):
+                slices = np.split(np.asarray(v), np.cumsum([x.shape[1] for x in books.value])[:-1])
+                rough = sum((x @ s)[codes[:, i]] for i, (x, s) in enumerate(zip(books.value, slices, strict=True)))
+                best = np.argpartition(-rough, min(len(ids), keep * k) - 1)[: keep * k]
+                found.append((np.repeat(np.array([name], dtype=a["q"].dtype), len(best)), ids[best], rough[best]))
+        return pd.DataFrame({c: np.concatenate([f[i] for f in found]) if found else [] for i, c in enumerate(("q", "t", "rough"))})
+
+    rough = asked.groupBy("cell", "sub").cogroup(coded.groupBy("cell", "sub")).applyInPandas(scan, f"q {kinds[0]}, t {kinds[1]}, rough double")
+    first = rough.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("rough"), "t"))).filter(F.col("r") <= keep * k)
+    scored = first.select("q", "t").join(queries.select("q", F.col("v").alias("qv")), "q").join(targets.select("t", F.col("v").alias("tv")), "t").select("q", "t", dot(F.col("qv"), F.col("tv")).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", 12).desc(), "t"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours (q, t) among those found."""
+    row = exact.select("q", "t").join(found.select("q", "t", F.lit(1).alias("hit")), ["q", "t"], "left").agg(F.count("*"), F.count("hit")).first()
+    return row[1] / row[0] if row[0] else 1.0
+
+
 def vector_features(pairs: DataFrame, queries: DataFrame, targets: DataFrame, by: list[str], near: DataFrame | None = None) -> DataFrame:
     """pairs (q, t) with dl_cos, dl_t_gap (the target's best similarity to any query minus dl_cos) and dl_nn_margin (dl_cos minus the target's similarity to the query's look-alike).
 

@@ -227,3 +227,14 @@ def knn_all_cells(spark: SparkSession, d: str) -> DataFrame:
     v = ad.vec(spark, d)
     q, t = v.filter("src = 1").select(F.col("vec_id").alias("q"), "v"), v.filter("src > 1").select(F.col("vec_id").alias("t"), "v")
     return rounded(knn.cell_knn(q, t, 10, cells=16, probes=16).select("q", "t", "score", "rank"))
+
+
+@query(f"WITH {VEC} SELECT count(*) AS queries, 10 * count(*) AS neighbours, true AS enough FROM vec WHERE src = 1")
+def knn_quantised_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The quantised index against brute force: it must find nine tenths of the neighbours, and score them exactly."""
+    v = ad.vec(spark, d)
+    q, t = v.filter("src = 1").select(F.col("vec_id").alias("q"), "v"), v.filter("src > 1").select(F.col("vec_id").alias("t"), "v")
+    found = knn.quantised_knn(q, t, 10, cells=8, probes=7, keep=10)
+    exact = knn.exact_knn(q.withColumn("g", F.lit(0)), t.withColumn("g", F.lit(0)), 10, ["g"])
+    n = found.agg(F.count_distinct("q"), F.count("*")).first()
+    return spark.createDataFrame([(n[0], n[1], knn.recall(found, exact) >= 0.9)], "queries long, neighbours long, enough boolean")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,24 @@ def test_knn_blocks_agree(spark):
     assert near.count() == 360
 
 
+def test_quantised_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((30, 16))
+    x = centres[rng.integers(0, 30, 1500)] + 0.3 * rng.standard_normal((1500, 16))
+    df = spark.createDataFrame([(f"t{i}", v.tolist()) for i, v in enumerate(x)], "t string, v array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[::30])], "q int, v array<double>")
+    found = knn.quantised_knn(q, df, 10, cells=8, probes=4, parts=4, block=100)
+    exact = knn.exact_knn(q.withColumn("g", F.lit(0)), df.withColumn("g", F.lit(0)), 10, ["g"])
+    assert knn.recall(found, exact) >= 0.9
+    for r in found.limit(40).collect():
+        assert r["score"] == pytest.approx(float(x[int(r["t"][1:])] @ x[::30][r["q"]]))
+    books = knn.fit_codebooks(x, 4)
+    codes = knn.quantise(x, books)
+    assert codes.shape == (1500, 4) and codes.dtype == np.uint8
+    near = np.concatenate([b[codes[:, i]] for i, b in enumerate(books)], axis=1)
+    assert ((near - x) ** 2).sum() < 0.3 * (x**2).sum()
+
+
 def test_merge_blockers_fills_gaps(spark):
     make = lambda rows: spark.createDataFrame(rows, "q string, t string, score double, rank int")
     out = blocking.merge_blockers({"x": make([("a", "b", 0.5, 1)]), "y": make([("a", "b", 0.7, 2), ("a", "c", 0.1, 3)])}).collect()
