@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import OWN, HashFilter, released, small_batches, stage, text_key
+from .shared import OWN, HashFilter, small_batches, stage, text_key, tidy
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Seeds are broadcast to their places up to so many rows of 40 bytes; beyond, they are joined in SALTS shares.
@@ -154,8 +154,8 @@ def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     keyed_items = _keyed_items(items, least)
     sizes = {r["n"] for r in keyed_items.select("n").distinct().collect()}
     seeds = stage(item_seeds(keyed_items), "seeds")
-    unique = seeds.select("hash").distinct()
-    all_seeds = spark.sparkContext.broadcast(HashFilter.of(unique, unique.count()))
+    unique, n_seeds = seeds.select("hash").distinct(), seeds.count()
+    all_seeds = spark.sparkContext.broadcast(HashFilter.of(unique, n_seeds))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -176,13 +176,12 @@ def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
                 held, size = [], 0
         if held:
             yield fold()
-        released()
 
     texts = docs.select(F.lower("text").alias("text"))
-    times = texts.mapInArrow(count, "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times"))
+    times = texts.mapInArrow(tidy(count), "hash long, times long").groupBy("hash").agg(F.sum("times").alias("times"))
     rarest = Window.partitionBy("item").orderBy(F.coalesce("times", F.lit(0)).desc(), "hash", "at")
     rare = seeds.join(times, "hash", "left").withColumn("nth", F.row_number().over(rarest)).join(keyed_items.select("item", "given", "needed", "span"), "item").filter("nth > given and times > 0")
-    rare = stage(rare.select("hash", "item", "needed", "span").distinct(), "rare")
+    rare = stage(rare.select("hash", "item", "needed", "span").distinct(), "rare", n_seeds)
     searched = rare.select("hash").distinct()
     held = spark.sparkContext.broadcast(HashFilter.of(searched, searched.count()))
 
@@ -194,10 +193,9 @@ def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
                 at = held.value.places(g)
                 row = np.searchsorted(first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(row)), pa.array(g[at].view(np.int64)), pa.array(at - first[row])], names=["key", "hash", "pos"])
-        released()
 
     keyed = docs.select("doc_id", text_key("doc_id", "text").alias("key"), F.lower("text").alias("text"))
-    places = keyed.select("key", "text").mapInArrow(search, "key binary, hash long, pos long")
+    places = keyed.select("key", "text").mapInArrow(tidy(search), "key binary, hash long, pos long")
     if rare.count() <= BROADCAST_SEEDS:
         hits = places.join(F.broadcast(rare), "hash")
     else:
@@ -212,7 +210,8 @@ def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     stride = F.col("span") * 2 + 8
     cut = areas.select("key", "item", "lo", "hi", "span", F.explode(F.sequence(F.lit(0), ((F.col("hi") - F.col("lo")) / stride).cast("int"))).alias("k"))
     cut = cut.select("key", "item", (F.col("lo") + F.col("k") * stride - F.col("span")).alias("lo"), (F.least("hi", F.col("lo") + (F.col("k") + 1) * stride) + F.col("span") + 2).alias("hi"))
-    windows = stage(cut.groupBy("key").agg(F.collect_list(F.struct("item", "lo", "hi")).alias("windows")), "windows")
+    cut = cut.join(keyed_items.select("item", "item_id", "words"), "item")
+    windows = stage(cut.groupBy("key").agg(F.collect_list(F.struct("item_id", "lo", "hi", "words")).alias("windows")), "windows")
 
     # only documents that may have a window move
     here = windows.select(F.xxhash64("key").alias("hash")).distinct()
@@ -224,33 +223,22 @@ def _leaks(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
         out[wanted.value.places(hashes.to_numpy(np.int64).view(np.uint64))] = True
         return pd.Series(out)
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
         for batch in batches:
             w = tv.words(batch.column("text"), marks=True)
             out: list[tuple] = []
             for i, (doc, key, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "windows")), strict=True)):
                 words = w.hash[w.first[i] : w.first[i + 1]]
                 for s in spots:
-                    a, b = max(0, s["lo"]), min(len(words), s["hi"])
-                    out.append((doc, key, s["item"], a, words[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "item", "lo", "here"])
-        released()
+                    lo, item = max(0, s["lo"]), np.frombuffer(s["words"], np.uint64)
+                    best, a, b = align(item, words[lo : s["hi"]])
+                    if best / (MATCH * len(item)) >= least - 1e-9:
+                        out.append((doc, key, s["item_id"], best / (MATCH * len(item)), lo + a, lo + b, len(item)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], names=["doc_id", "key", "item_id", "score", "start", "end", "n_words"])
 
     moved = keyed.filter(F.col("text").isNotNull() & may(F.xxhash64("key"))).join(windows.hint("merge"), "key")
-    found = moved.select("doc_id", "key", "text", "windows").mapInArrow(extract, "doc_id long, key binary, item long, lo long, here binary")
-
-    @F.pandas_udf("score double, start long, end long")
-    def score(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for windows, words in parts:
-            rows = []
-            for blob, item in zip(windows, words, strict=True):
-                item = np.frombuffer(item, np.uint64)
-                best, a, b = align(item, np.frombuffer(blob, np.uint64))
-                rows.append((best / (MATCH * max(1, len(item))), a, b))
-            yield pd.DataFrame(rows, columns=["score", "start", "end"])
-
-    scored = found.join(keyed_items.select("item", "item_id", "n_words", "words"), "item").withColumn("s", score("here", "words")).filter(F.col("s.score") >= least - 1e-9)
-    return scored.select("doc_id", "key", "item_id", F.col("s.score").alias("score"), (F.col("lo") + F.col("s.start")).alias("start"), (F.col("lo") + F.col("s.end")).alias("end"), "n_words")
+    return moved.select("doc_id", "key", "text", "windows").mapInArrow(tidy(score), "doc_id long, key binary, item_id long, score double, start long, end long, n_words long")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.6) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import LOWEST, OWN, HashFilter, components, join_counted, local_roots, released, small_batches, stage, without
+from .shared import LOWEST, OWN, HashFilter, components, join_counted, local_roots, small_batches, stage, tidy, without
 
 #: Parts that the sketch is merged in.
 PARTS = 64
@@ -69,7 +69,6 @@ def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
             if size > 1 << 18:
                 fold()
         fold()
-        released()
         if seen:
             packed = [pa.compress(total[p * width : (p + 1) * width].tobytes(), codec="zstd", asbytes=True) for p in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
@@ -81,7 +80,7 @@ def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
                 total += np.frombuffer(pa.decompress(blob, decompressed_size=4 * width, codec="zstd"), np.uint32)
         yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()], "total": [float(total.sum())]})
 
-    parts = stage(docs.select("text").mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary, total double"), "sketch")
+    parts = stage(docs.select("text").mapInArrow(tidy(count), "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary, total double"), "sketch")
     usual = (parts.agg(F.sum("total")).first()[0] or 0.0) / slots
 
     def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,23 +193,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
             head = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
             marks = [pa.array([m[k] for m in marks], pa.int64()) for k in range(2)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("key"), pa.array(size, pa.int64()), *marks, head], names=["doc", "key", "n", "s1", "s2", "head"])
-        released()
 
     own = (F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("key"))
     keyed = docs.select(*own, "text")
-    matrix = stage(keyed.mapInArrow(rows, "doc long, key long, n long, s1 long, s2 long, head array<long>"), "matrix")
+    matrix = stage(keyed.mapInArrow(tidy(rows), "doc long, key long, n long, s1 long, s2 long, head array<long>"), "matrix")
     # documents of equal sets are one row, which bears a number; the document of smallest doc_id stands for them
     solid = matrix.filter("n > 0")
     alike = solid.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc", "key", "head")).alias("m"), F.count("*").alias("copies"))
     reps = stage(alike.select(F.monotonically_increasing_id().alias("rep"), "m.doc", "m.key", "n", "s1", "s2", "copies", "m.head"), "reps")
-    size = reps.agg(F.sum(F.size("head")), F.sum("copies")).first()
+    size = [x or 0 for x in reps.agg(F.sum(F.size("head")), F.sum("copies"), F.count("*")).first()]
     entries = reps.select("rep", "n", F.explode("head").alias("col"))
     held = entries.groupBy("col").agg(F.count("*").alias("held"), F.min("rep").alias("centre")).filter("held > 1")
     held = held.select("col", "held", F.when(F.col("held") > few, F.col("centre")).alias("centre"), F.col("held").alias("weight"))
-    entries = stage(join_counted(entries, held, ["col"], "weight", size[0] or 0), "entries")
+    entries = stage(join_counted(entries, held, ["col"], "weight", size[0]), "entries", size[0])
 
     must = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
-    crowds = stage(components(entries.filter("centre is not null").select("rep", "centre").distinct(), "rep", "centre").select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds")
+    crowds = stage(components(entries.filter("centre is not null").select("rep", "centre").distinct(), "rep", "centre", size[0]).select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds", size[2])
     lists = entries.filter("centre is null").withColumn("must", must).groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must"))).alias("r"))
     ordered = lists.select("r", F.posexplode("r").alias("i", "a"))
     ordered = ordered.select("a", F.explode(F.filter(F.expr("slice(r, i + 2, size(r))"), lambda b: b["n"] * percent <= F.col("a.n") * 100)).alias("b"))
@@ -221,7 +219,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     # whole sets of the rows that are left; only texts that may be among them move
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
-    wanted = stage(reps.join(wanted, "rep", "left_semi").select("rep", "doc", "key", "n", "s1", "s2"), "wanted")
+    wanted = stage(reps.join(wanted, "rep", "left_semi").select("rep", "doc", "key", "n", "s1", "s2"), "wanted", size[2])
     here = wanted.select(F.xxhash64("doc", "key").alias("hash")).distinct()
     may = spark.sparkContext.broadcast(HashFilter.of(here, here.count()))
 
@@ -236,10 +234,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
             sets = _sets(batch, n)
             right = [i for i, (s, *m) in enumerate(zip(sets, batch.column("s1").to_pylist(), batch.column("s2").to_pylist(), strict=True)) if _marks(s) == tuple(m)]
             yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())], names=["rep", "set"])
-        released()
 
     texts = keyed.filter(F.col("text").isNotNull() & chosen(F.xxhash64("doc", "key"))).join(wanted, ["doc", "key"]).select("rep", "s1", "s2", "text")
-    sets = stage(texts.mapInArrow(whole, "rep long, set binary").dropDuplicates(["rep"]), "sets")
+    sets = stage(texts.mapInArrow(tidy(whole), "rep long, set binary").dropDuplicates(["rep"]), "sets")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -257,7 +254,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     # crowds: bands of size, blocks in a band, and products of blocks that may hold links
     width = -math.log(percent / 100) * 1.001 if percent < 100 else 1e-9
     banded = wanted.select("rep", "n").join(crowds, "rep").select("rep", "n", "crowd", F.floor(F.log(F.col("n").cast("double")) / width).alias("band"))
-    banded = stage(banded, "bands")
+    banded = stage(banded, "bands", size[2])
     per = banded.groupBy("crowd", "band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / block_columns)).cast("int").alias("blocks"), F.count("*").alias("weight"))
     above = per.select("crowd", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = per.select("crowd", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -293,7 +290,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     spans = tasks.groupBy("crowd", "x", "i", "y", "j").applyInPandas(multiply, "a long, b long, n_links long")
     edges = stage(links.unionByName(spans), "links")
-    joined = stage(components(edges.filter("a <> b")), "joined")
+    joined = stage(components(edges.filter("a <> b")), "joined", size[2])
     degree = edges.select("a", "n_links").union(edges.filter("a <> b").select("b", "n_links")).groupBy("a").agg(F.sum("n_links").alias("n_links"))
     # components take the smallest doc_id of their documents
     members = joined.withColumnRenamed("node", "rep").join(reps.select("rep", "doc"), "rep")
@@ -301,7 +298,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     named = join_counted(members, least, ["component"], "weight", joined.count()).select("rep", "least")
     named = reps.join(named, "rep", "left").join(degree.withColumnRenamed("a", "rep"), "rep", "left")
     named = named.select("n", "s1", "s2", F.coalesce("least", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
-    classes = join_counted(solid.select("doc", "key", "n", "s1", "s2"), named, ["n", "s1", "s2"], "copies", size[1] or 0).select(F.col("doc").alias(f"{OWN}d"), F.col("key").alias(f"{OWN}k"), F.col("n").alias(f"{OWN}n"), F.col("component_id").alias(f"{OWN}c"), F.col("n_links").alias(f"{OWN}l"))
+    classes = join_counted(solid.select("doc", "key", "n", "s1", "s2"), named, ["n", "s1", "s2"], "copies", size[1]).select(F.col("doc").alias(f"{OWN}d"), F.col("key").alias(f"{OWN}k"), F.col("n").alias(f"{OWN}n"), F.col("component_id").alias(f"{OWN}c"), F.col("n_links").alias(f"{OWN}l"))
     # equal rows of docs have equal classes
     classes = classes.groupBy(f"{OWN}d", f"{OWN}k").agg(*[F.min(f"{OWN}{c}").alias(f"{OWN}{c}") for c in "ncl"])
     out = docs.withColumns({f"{OWN}d": own[0], f"{OWN}k": own[1]}).join(classes, [f"{OWN}d", f"{OWN}k"], "left")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWEST, OWN, released, small_batches, stage, without
+from .shared import LOWEST, OWN, join_counted, released, small_batches, stage, without
 
 BLANK = " \t\n\x0b\x0c\r"
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
@@ -89,9 +89,9 @@ class LineRuns:
             level += 1
 
     def finish(self, least: int) -> DataFrame:
-        """(h1, h2, top) of lines in at least so many documents."""
+        """(h1, h2, top, n) of lines in at least so many documents, n of them."""
         names = [x for level in self.levels for x in level]
-        return stage(self._merged(names).filter(F.col("n") >= least).select("h1", "h2", "top"), "lines")
+        return stage(self._merged(names).filter(F.col("n") >= least).select("h1", "h2", "top", "n"), "lines")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -122,7 +122,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
         often = runs.finish(min_docs)
     finally:
         runs.close()
-    gone = keys.join(often, ["h1", "h2"]).filter("doc <> top").groupBy("doc").agg(F.collect_set("h1").alias(f"{OWN}gone"))
+    gone = join_counted(keys, often, ["h1", "h2"], "n", keys.count()).filter("doc <> top").groupBy("doc").agg(F.collect_set("h1").alias(f"{OWN}gone"))
 
     @F.pandas_udf("text string, n int")
     def rewrite(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import released, small_batches, stage
+from .shared import small_batches, stage, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -48,10 +48,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: in
                     columns.append(pa.array([k.astype(np.int64) for k in kept], pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
-        released()
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run, tokens.__name__), PIECES + (", ids array<long>" if with_ids else ""))
 
 
 class CapacityTree:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ctypes
 import os
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,8 +47,14 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 4 << 20) ->
             spark.conf.set(key, value)
 
 
-def released() -> None:
-    """Give back what a worker has freed: workers outlive a task, and their memory adds up."""
+def released(keep: str = "") -> None:
+    """Give back what a worker has freed, and what other operators' tasks left for reuse: workers outlive a task, and their memory adds up.
+
+    `keep` names a module whose tables stay.
+    """
+    for name, tables in (("kinweave.llm.tokens", "encoder"),):
+        if name != keep and name in sys.modules:
+            getattr(sys.modules[name], tables).cache_clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -55,6 +62,17 @@ def released() -> None:
         pass
 
 
+def tidy(run: Callable[[Iterator], Iterator], keep: str = "") -> Callable[[Iterator], Iterator]:
+    """A task's generator that releases memory before it begins and when all that it held is gone."""
+
+    def outer(batches: Iterator) -> Iterator:
+        released(keep)
+        yield from run(batches)
+        released(keep)
+
+    return outer
+
+
 def fresh(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -77,14 +95,22 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(where, True)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a file of a narrow table, and tasks that write even a small one.
+FILE_ROWS, LEAST_FILES = 1 << 18, 8
+
+
+def stage(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: its lineage ends there.
 
+    Where it is known that a table is narrow and has no more than `rows` rows,
+    it is written as files of FILE_ROWS, not as one for every partition.
     Results are evaluated after an operator has returned, so the copy stays
     until the application ends, or until `drop` is called with it.
     """
     spark = df.sparkSession
     path = fresh(spark, label)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     try:
         df.write.parquet(path)
     except BaseException:
@@ -213,8 +239,8 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield fold(held)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of long-typed edges, as (node, component) with the smallest node as component.
+def components(edges: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+    """Connected components of long-typed edges, at most `rows` if that is known, as (node, component) with the smallest node as component.
 
     Every part of the table is folded into stars first; then large-star and
     small-star steps alternate until no edge changes, which takes a number of
@@ -224,7 +250,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spread out; every round is written to the shared folder and the one before
     it removed.
     """
-    e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").mapInArrow(_stars, "u long, v long").distinct(), "components")
+    e = stage(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").mapInArrow(_stars, "u long, v long").distinct(), "components", rows)
     before = None
     for _ in range(60):
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -236,7 +262,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         met = join_counted(large, low, ["u"], "n", 2 * now[0]).select(F.col("v").alias("x"), "m", "u")
         small = met.select(F.col("x").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        after = stage(small, "components")
+        after = stage(small, "components", 2 * now[0])
         drop(e)
         e, before = after, now
     raise RuntimeError("components did not settle")
