@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import OWN, released, small_batches, stage, without
+from .shared import OWN, released, small_batches, stage, tidy, without
 
 #: Kinds of bytes: lower case, upper case, digits, blanks, line ends, single marks, other ASCII, beyond ASCII.
 _MARKS = b".,;:!?'\"-()|#$%&*"
@@ -205,9 +205,8 @@ def _features(docs: DataFrame) -> DataFrame:
                 t, m = views(part)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.astype(np.float32).ravel())) for v in (t, m)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("hash"), *lists], names=["doc_id", "label", "hash", "t", "m"])
-        released()
 
-    return docs.select("doc_id", "label", F.col(f"{OWN}h").alias("hash"), "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(run, "doc_id long, label int, hash long, t array<float>, m array<float>")
+    return docs.select("doc_id", "label", F.col(f"{OWN}h").alias("hash"), "text", "lang", "source", F.col("n_chars").cast("long")).mapInArrow(tidy(run), "doc_id long, label int, hash long, t array<float>, m array<float>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pool: int = 20_000, **options) -> CoTrained | None:
@@ -218,11 +217,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pool:
     label and share its bound. Labels of null doc_id or quality are ignored; of
     a doc_id's labels the smallest counts.
     """
+    model = _fitted(docs, labels, sample, pool, options)
+    released()  # the sample has gone from the driver
+    return model
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, sample: int, pool: int, options: dict) -> CoTrained | None:
     small_batches(docs.sparkSession)
     one = 1 << 30
     part = lambda n, most, salt, *c: F.pmod(F.xxhash64(F.lit(salt), *c), F.lit(one)) < int(min(1.0, most / max(1, n)) * one)
     marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    marked = stage(marked.filter(part(labels.count(), sample, 1, F.col("doc_id"))), "marked")  # about `sample` rows, broadcast
+    marked = stage(marked.filter(part(labels.count(), sample, 1, F.col("doc_id"))), "marked", sample)  # about `sample` rows, broadcast
     size = docs.select("doc_id").join(F.broadcast(marked), "doc_id", "left").agg(F.count("*"), F.count("label")).first()
     known = F.col("label").isNotNull()
     rows = docs.drop("label").join(F.broadcast(marked), "doc_id", "left")
