@@ -196,7 +196,7 @@ def _segments(data: DataFrame, top: float, segment_rows: int, seed: int) -> tupl
     return placed, cuts.view(np.uint64) ^ np.uint64(1 << 63)
 
 
-def measure(data: DataFrame, queries: DataFrame, bounds: np.ndarray, top: float, k: int, trees: int, target: float, seed: int, sample: int = 64, segments: int = 8) -> Plan:
+def measure(data: DataFrame, queries: DataFrame, bounds: np.ndarray, top: float, k: int, trees: int, target: float, seed: int, sample: int = 64, segments: int = 3) -> Plan:
     """The least work that finds the share `target` of the neighbours of `sample` queries.
 
     Their neighbours are found by brute force over all rows; the forests that
