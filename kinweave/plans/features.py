@@ -30,7 +30,6 @@ def normalized_records(spark: SparkSession, d: str) -> DataFrame:
     return tx.normalized_record(ad.rec(spark, d)).drop("business_name", "business_address", "copy")
 
 
-_SPELT = {"o": "0", "l": "1", "s": "5"}
 #: A record spelt with what normalization repairs: digits in words, a title, a trade name, ordinals, zeros, split postal codes, states.
 _ODD_NAME = ("'Dr ' || replace(a, 'l', '1') || ' Co dba ' || b", lambda a, b: F.concat(F.lit("Dr "), F.replace(a, F.lit("l"), F.lit("1")), F.lit(" Co dba "), b))
 _ODD_ADDRESS = ("'0' || k || ' ' || (k % 90 + 1) || 'th St 110 ' || (100 + k % 900) || ' new york, Tamil Nadu'", lambda key: F.concat(F.lit("0"), key.cast("string"), F.lit(" "), (key % 90 + 1).cast("string"), F.lit("th St 110 "), (F.lit(100) + key % 900).cast("string"), F.lit(" new york, Tamil Nadu")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -81,7 +81,7 @@ def truth_scan(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT ({_draw('o_orderkey', 42)} % 4)::INTEGER::BIGINT AS fold, count(*) AS n, list_sort(list(o_orderkey))[1:3] AS first FROM orders GROUP BY 1")
 def manifest_json(spark: SparkSession, d: str) -> DataFrame:
     e = sampling.folds(ad.entities(spark, d), 4, 42)
-    first = e.withColumn("r", F.row_number().over(blocking.Window.partitionBy("fold").orderBy("q"))).filter("r <= 3").groupBy("fold").agg(F.sort_array(F.collect_list("q")).alias("first"))
+    first = e.withColumn("r", F.row_number().over(Window.partitionBy("fold").orderBy("q"))).filter("r <= 3").groupBy("fold").agg(F.sort_array(F.collect_list("q")).alias("first"))
     path = f"{tsv.scratch(spark, 'manifest')}/m"
     tsv.write_json(e.groupBy("fold").agg(F.count("*").alias("n")).join(first, "fold"), path)
     return spark.read.json(path).select("fold", "n", "first")
