@@ -46,29 +46,18 @@ def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
 def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     """Frequency class, one byte, of every slot hash(column) mod slots.
 
-    Documents that hold a column are counted per slot, over all documents, and
-    the counts are merged part by part; only the classes reach the driver.
+    Columns are counted per slot, over all documents and wherever they stand in
+    them, and the counts are merged part by part; only the classes reach the
+    driver.
     """
     width = slots // PARTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen, held, size = np.zeros(slots, np.uint32), False, [], 0
-
-        def fold() -> None:
-            nonlocal held, size
-            if held:
-                slot, times = np.unique((np.concatenate(held) & tv.U(slots - 1)).astype(np.uint32), return_counts=True)
-                total[slot] += times.astype(np.uint32)
-            held, size = [], 0
-
+        total, seen = np.zeros(slots, np.uint32), False
         for batch in batches:
             seen = True
-            for s in _sets(batch, n):
-                held.append(s)
-                size += len(s)
-            if size > 1 << 18:
-                fold()
-        fold()
+            values, _ = tv.ngrams(tv.words(batch.column("text")), n)
+            np.add.at(total, (values & tv.U(slots - 1)).astype(np.int64), np.uint32(1))
         if seen:
             packed = [pa.compress(total[p * width : (p + 1) * width].tobytes(), codec="zstd", asbytes=True) for p in range(PARTS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
