@@ -9,7 +9,9 @@ number of counters, which decides only the order, never the result.
 
 - Columns held by few rows are expanded into pairs of rows of compatible size;
   the products are accumulated per pair, and pairs below the bound are dropped.
-- Rows that share columns held by many rows form crowds. A crowd is cut into
+- Rows that have `depth` columns held by many rows, and so may share nothing but
+  those, form crowds; other pairs share a rarer column, and what they share of
+  frequent ones is counted once they have met there. A crowd is cut into
   blocks by size band and hash; blocks of compatible bands are multiplied in
   memory, and only edges that span the links found are returned, with the number
   of links of each row, so a group of copies never becomes a list of pairs. Any
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import LOWEST, OWN, HashFilter, components, join_counted, local_roots, small_batches, stage, tidy, without
+from .shared import LOWEST, OWN, HashFilter, components, drop, join_counted, local_roots, small_batches, stage, tidy, without
 
 #: Parts that the sketch is merged in.
 PARTS = 64
@@ -80,12 +82,17 @@ def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     out = np.zeros((PARTS, width), np.uint8)
     for row in parts.mapInPandas(classes, "part int, ranks binary").toLocalIterator():
         out[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
+    drop(parts)
     return out.reshape(-1)
 
 
 def column_rank(counts: np.ndarray, usual: float) -> np.ndarray:
-    """Frequency class of counts: 0 up to the usual load, then one more per doubling."""
-    return np.maximum(0, np.floor(np.log2(counts / (2 * max(1.0, usual)) + 1e-9)) + 1).astype(np.uint8)
+    """Frequency class of counts: 64 at the usual load, eight more per doubling.
+
+    A column that is a little more frequent than others shows above the load
+    of its slot only if classes are narrow, all the more on large tables.
+    """
+    return np.clip(np.floor(8 * np.log2(counts / max(1.0, usual) + 1e-9)) + 64, 0, 255).astype(np.uint8)
 
 
 def _meets(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -196,15 +203,29 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     held = held.select("col", "held", F.when(F.col("held") > few, F.col("centre")).alias("centre"), F.col("held").alias("weight"))
     entries = stage(join_counted(entries, held, ["col"], "weight", size[0]), "entries", size[0])
 
-    must = F.ceil(F.lit(percent) * F.col("n") / 100).cast("int")
-    crowds = stage(components(entries.filter("centre is not null").select("rep", "centre").distinct(), "rep", "centre", size[0]).select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds", size[2])
-    lists = entries.filter("centre is null").withColumn("must", must).groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must"))).alias("r"))
+    # k: how many columns of many rows a row has; such a pair, if less than `least` in either, shares other columns too
+    must = lambda n: F.ceil(F.lit(percent) * n / 100)
+    heavy = entries.filter("centre is not null").groupBy("rep").agg(F.collect_list("col").alias("cols"), F.count("*").cast("int").alias("k"), F.min("n").alias("n"))
+    # the least that it may share with any row of compatible size
+    heavy = stage(heavy.withColumn("full", F.col("k") >= F.least(F.lit(depth), must(must(F.col("n"))))).drop("n"), "heavy", size[2])
+    full = heavy.filter("full").select("rep")
+    together = components(entries.filter("centre is not null").join(full, "rep", "left_semi").groupBy("col").agg(F.min("rep").alias("centre")).join(entries.select("col", "rep"), "col").join(full, "rep", "left_semi").select("rep", "centre"), "rep", "centre", size[0])
+    crowds = stage(together.select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds", size[2])
+    drop(together)
+    known = heavy.select("rep", "k").join(crowds, "rep", "left")
+    lists = entries.filter("centre is null").join(known, "rep", "left").na.fill(0, ["k"]).withColumn("must", must(F.col("n")).cast("int"))
+    lists = lists.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must", "k", "crowd"))).alias("r"))
     ordered = lists.select("r", F.posexplode("r").alias("i", "a"))
-    ordered = ordered.select("a", F.explode(F.filter(F.expr("slice(r, i + 2, size(r))"), lambda b: b["n"] * percent <= F.col("a.n") * 100)).alias("b"))
-    shared = ordered.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least(F.lit(depth), "a.must", "b.must")).alias("least"))
-    # rows of different crowds share no column of many rows, so all that they share is counted here
-    pairs = shared.filter("shared >= least").join(crowds.withColumnsRenamed({"rep": "a", "crowd": "ca"}), "a", "left").join(crowds.withColumnsRenamed({"rep": "b", "crowd": "cb"}), "b", "left")
-    pairs = stage(pairs.filter("ca is null or cb is null or ca <> cb").select("a", "b"), "pairs")
+    ordered = ordered.select("a", F.explode(F.filter(F.expr("slice(r, i + 2, size(r))"), lambda b: (b["n"] * percent <= F.col("a.n") * 100) & ~F.coalesce(b["crowd"] == F.col("a.crowd"), F.lit(False)))).alias("b"))
+    # rows of different crowds share no column of many rows; of others, no more than the fewer of either row
+    beside = F.when(F.col("a.crowd").isNotNull() & F.col("b.crowd").isNotNull(), 0).otherwise(F.least("a.k", "b.k"))
+    shared = ordered.groupBy(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least(F.lit(depth), "a.must", "b.must")).alias("least"), F.min(beside).alias("beside"))
+    near = stage(shared.filter("shared + beside >= least"), "near")
+    cols = heavy.select("rep", "cols")
+    unsure = near.filter("shared < least").join(cols.withColumnsRenamed({"rep": "a", "cols": "ca"}), "a").join(cols.withColumnsRenamed({"rep": "b", "cols": "cb"}), "b")
+    unsure = unsure.filter(F.col("shared") + F.size(F.array_intersect("ca", "cb")) >= F.col("least"))
+    pairs = stage(near.filter("shared >= least").select("a", "b").union(unsure.select("a", "b")), "pairs")
+    drop(entries, heavy, near)
 
     # whole sets of the rows that are left; only texts that may be among them move
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
@@ -279,7 +300,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     spans = tasks.groupBy("crowd", "x", "i", "y", "j").applyInPandas(multiply, "a long, b long, n_links long")
     edges = stage(links.unionByName(spans), "links")
-    joined = stage(components(edges.filter("a <> b")), "joined", size[2])
+    drop(pairs, wanted, sets, crowds, banded)
+    found = components(edges.filter("a <> b"))
+    joined = stage(found, "joined", size[2])
+    drop(found)
     degree = edges.select("a", "n_links").union(edges.filter("a <> b").select("b", "n_links")).groupBy("a").agg(F.sum("n_links").alias("n_links"))
     # components take the smallest doc_id of their documents
     members = joined.withColumnRenamed("node", "rep").join(reps.select("rep", "doc"), "rep")
@@ -289,7 +313,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     named = named.select("n", "s1", "s2", F.coalesce("least", "doc").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies")
     classes = join_counted(solid.select("doc", "key", "n", "s1", "s2"), named, ["n", "s1", "s2"], "copies", size[1]).select(F.col("doc").alias(f"{OWN}d"), F.col("key").alias(f"{OWN}k"), F.col("n").alias(f"{OWN}n"), F.col("component_id").alias(f"{OWN}c"), F.col("n_links").alias(f"{OWN}l"))
     # equal rows of docs have equal classes
-    classes = classes.groupBy(f"{OWN}d", f"{OWN}k").agg(*[F.min(f"{OWN}{c}").alias(f"{OWN}{c}") for c in "ncl"])
+    classes = stage(classes.groupBy(f"{OWN}d", f"{OWN}k").agg(*[F.min(f"{OWN}{c}").alias(f"{OWN}{c}") for c in "ncl"]), "classes", size[1])
+    drop(matrix, reps, edges, joined)
     out = docs.withColumns({f"{OWN}d": own[0], f"{OWN}k": own[1]}).join(classes, [f"{OWN}d", f"{OWN}k"], "left")
     component = F.coalesce(f"{OWN}c", f"{OWN}d")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(f"{OWN}n", F.lit(0)).cast("long").alias("n_shingles"), F.when((component != LOWEST) | F.col("doc_id").isNotNull() & F.col(f"{OWN}c").isNull(), component).alias("component_id"), F.coalesce(f"{OWN}l", F.lit(0)).cast("long").alias("n_links"))
