@@ -37,6 +37,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path that scratch gave."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df through a Parquet copy in the shared folder, for what several branches of a plan read: it is computed once, and lost executors cost none of it."""
     path = scratch(df.sparkSession, label)
