@@ -62,6 +62,38 @@ def blocker_recall(labelled: DataFrame, n_true: int | Column, blockers: list[str
     return rows.groupBy("b.blocker").agg(F.count("*").alias("pairs"), (F.sum("label") / n).alias("recall"))
 
 
+def matched_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, nq, nt, both: rows (src, ...) of source 1 and of others per value, and how many pairs those are; null matches nothing."""
+    own = F.col("src") == 1
+    out = rows.dropna(subset=by).groupBy(*by).agg(F.count_if(own).alias("nq"), F.count_if(~own).alias("nt"))
+    return out.withColumn("both", F.col("nq") * F.col("nt"))
+
+
+def key_recall(rows: DataFrame) -> DataFrame:
+    """(blocker, pairs, found) of blockers that give a record (src, entity_id, copy, blocker, key) at most one key.
+
+    Pairs of one key are a product of two counts, and true pairs among them
+    (those of one copy) are as well, so no pair is made. An entity_id of several
+    rows is paired once per key, and once more for each further true pair; its
+    rows, and those that they meet, are compared one by one.
+    """
+    odd = rows.groupBy("blocker", "entity_id").agg(F.count("*").alias("n")).filter("n > 1").select("blocker", "entity_id")
+    usual = rows.join(odd, ["blocker", "entity_id"], "left_anti")
+    pairs = matched_counts(usual, ["blocker", "key"]).groupBy("blocker").agg(F.sum("both").alias("pairs"), F.sum(F.lit(0)).alias("found"))
+    found = matched_counts(usual, ["blocker", "key", "copy"]).groupBy("blocker").agg(F.sum(F.lit(0)).alias("pairs"), F.sum("both").alias("found"))
+    # pairs with an odd side: distinct ones, each with its number of true pairs
+    some = rows.join(odd.withColumn("odd", F.lit(True)), ["blocker", "entity_id"], "left").na.fill(False, ["odd"])
+    q = some.filter("src = 1").select("blocker", "key", F.col("entity_id").alias("q"), F.col("odd").alias("oq"))
+    t = some.filter("src > 1").select("blocker", "key", F.col("entity_id").alias("t"), F.col("odd").alias("ot"))
+    met = q.filter("oq").join(t, ["blocker", "key"]).select("blocker", "q", "t").unionByName(q.join(t.filter("ot"), ["blocker", "key"]).select("blocker", "q", "t")).distinct()
+    copies = rows.select("src", "entity_id", "copy", "blocker").join(odd.select("blocker").distinct(), "blocker", "left_semi")
+    one = copies.filter("src = 1").groupBy("blocker", F.col("entity_id").alias("q")).agg(F.collect_list("copy").alias("cq"))
+    two = copies.filter("src > 1").groupBy("blocker", F.col("entity_id").alias("t")).agg(F.collect_list("copy").alias("ct"))
+    true = F.aggregate("cq", F.lit(0).cast("long"), lambda n, c: n + F.size(F.filter("ct", lambda x: x == c)))
+    odds = met.join(one, ["blocker", "q"]).join(two, ["blocker", "t"]).withColumn("true", true).groupBy("blocker").agg(F.sum(F.greatest("true", F.lit(1))).alias("pairs"), F.sum("true").alias("found"))
+    return pairs.unionByName(found).unionByName(odds).groupBy("blocker").agg(F.sum("pairs").cast("long").alias("pairs"), F.sum("found").cast("long").alias("found")).filter("pairs > 0")
+
+
 def ceiling(entities: DataFrame, truth: DataFrame, candidates: DataFrame) -> DataFrame:
     """Per entity, the F0.5 of a perfect classifier on the candidates: q, n_true, found, ceiling."""
     found = truth.join(candidates.select("q", "t").distinct().withColumn("hit", F.lit(1)), ["q", "t"], "left").groupBy("q").agg(F.count("*").alias("n_true"), F.count("hit").alias("found"))
