@@ -3,9 +3,12 @@
 Rows of the incidence matrix are documents (documents of equal sets share one
 row), columns are hashed n-grams. A pair that meets the threshold must share
 `depth` of the columns that come first in each row, if the rows agree on an
-order of columns; with frequent columns last, almost no other pair does. How
-frequent a column is comes from a count sketch over all documents: a fixed
-number of counters, which decides only the order, never the result.
+order of columns; with frequent columns last, almost no other pair does. Which
+columns are held by one document alone is counted over all columns, in parts of
+bounded size, and reaches the workers as a filter of bounded bits that lacks
+none of the others; those columns come first and, since no pair shares them,
+go no further. The order of the others comes from a count sketch, a fixed
+number of counters. Both decide only the work, never the result.
 
 - Columns held by few rows are expanded into pairs of rows of compatible size;
   the products are accumulated per pair, and pairs below the bound are dropped.
@@ -37,6 +40,12 @@ from .shared import LOWEST, OWN, HashFilter, components, drop, join_counted, loc
 
 #: Parts that the sketch is merged in.
 PARTS = 64
+#: Columns that a task sorts at a time, columns of a part that are counted together, and bits by which a part tells columns apart.
+RUN, TOGETHER, MARK_BITS = 1 << 22, 1 << 21, 28
+#: Bits of the filter for a column; the most bits, and the fewest for a column before rarer columns are left out.
+COLUMN_BITS, FILTER_BITS, TIGHT_BITS = 8, 1 << 29, 3
+#: How many documents a column must be in to be left in, the first that makes the filter fit.
+LEAST = (2, 3, 4, 8, 16, 32, 64, 128)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
@@ -45,8 +54,8 @@ def _sets(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
     return tv.distinct(values, first)
 
 
-def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
-    """Frequency class, one byte, of every slot hash(column) mod slots.
+def column_ranks(docs: DataFrame, n: int, slots: int) -> tuple[np.ndarray, int]:
+    """Frequency class, one byte, of every slot hash(column) mod slots, and how many columns were counted.
 
     Columns are counted per slot, over all documents and wherever they stand in
     them, and the counts are merged part by part; only the classes reach the
@@ -72,7 +81,8 @@ def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
         yield pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()], "total": [float(total.sum())]})
 
     parts = stage(docs.select("text").mapInArrow(tidy(count), "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary, total double"), "sketch")
-    usual = (parts.agg(F.sum("total")).first()[0] or 0.0) / slots
+    counted = parts.agg(F.sum("total")).first()[0] or 0.0
+    usual = counted / slots
 
     def classes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -83,7 +93,7 @@ def column_ranks(docs: DataFrame, n: int, slots: int) -> np.ndarray:
     for row in parts.mapInPandas(classes, "part int, ranks binary").toLocalIterator():
         out[row["part"]] = np.frombuffer(row["ranks"], np.uint8)
     drop(parts)
-    return out.reshape(-1)
+    return out.reshape(-1), int(counted)
 
 
 def column_rank(counts: np.ndarray, usual: float) -> np.ndarray:
@@ -95,6 +105,112 @@ def column_rank(counts: np.ndarray, usual: float) -> np.ndarray:
     return np.clip(np.floor(8 * np.log2(counts / max(1.0, usual) + 1e-9)) + 64, 0, 255).astype(np.uint8)
 
 
+class SharedColumns:
+    """Filter with two positions per column: it holds every column of at least `least` documents, and few others.
+
+    A column's first bits name its part, the MARK_BITS that follow its mark
+    there; a part has `width` bits.
+    """
+
+    def __init__(self, bits: np.ndarray, parts: int, width: int, least: int):
+        self.bits, self.parts, self.width, self.least = bits, parts, width, least
+
+    @staticmethod
+    def keys(cols: np.ndarray, parts: int) -> np.ndarray:
+        """Part and mark of columns, as one number in their order."""
+        return cols >> tv.U(64 - MARK_BITS - (parts.bit_length() - 1))
+
+    @staticmethod
+    def positions(marks: np.ndarray, width: int, second: bool) -> np.ndarray:
+        """The first or the second position of marks within a part."""
+        marks = tv.mix(marks) >> tv.U(64 - MARK_BITS) if second else marks
+        return (marks * tv.U(width) >> tv.U(MARK_BITS)).astype(np.int64)
+
+    def holds(self, cols: np.ndarray) -> np.ndarray:
+        """Which columns are in the filter."""
+        keys = self.keys(cols, self.parts)
+        marks, base = keys & tv.U((1 << MARK_BITS) - 1), (keys >> tv.U(MARK_BITS)).astype(np.int64) * self.width
+        at = np.arange(len(cols))
+        for second in (False, True):
+            p = base[at] + self.positions(marks[at], self.width, second)
+            at = at[(self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(cols), bool)
+        out[at] = True
+        return out
+
+
+def _packed(values: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Columns of a run of documents, by part: sorted marks as differences, and how many documents hold each (255 at most)."""
+    keys, counts = np.unique(SharedColumns.keys(values, parts), return_counts=True)
+    marks, counts = (keys & tv.U((1 << MARK_BITS) - 1)).astype(np.uint32), np.minimum(counts, 255).astype(np.uint8)
+    ends = np.searchsorted(keys, np.arange(parts + 1, dtype=np.uint64) << tv.U(MARK_BITS))
+    found = np.flatnonzero(np.diff(ends))
+    blobs = []
+    for p in found:
+        steps = np.diff(marks[ends[p] : ends[p + 1]], prepend=np.uint32(0))
+        planes = steps.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight stand together, which compresses
+        blobs.append(pa.compress(planes + counts[ends[p] : ends[p + 1]].tobytes(), codec="zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(np.diff(ends)[found], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "size", "columns"])
+
+
+def _unpacked(size: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=5 * size, codec="zstd"), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw[: 4 * size].reshape(4, size).T).view(np.uint32).reshape(-1), dtype=np.uint32), raw[4 * size :]
+
+
+def shared_columns(docs: DataFrame, n: int, total: int, together: int = TOGETHER, most_bits: int = FILTER_BITS) -> SharedColumns:
+    """The filter of columns held by at least two documents, of `total` columns or fewer.
+
+    Runs of columns are sent to their parts sorted and compressed, and counted
+    there whole; of a part only the bits of the filter reach the driver. If the
+    filter would get fewer than TIGHT_BITS bits for a column, it holds columns of
+    more documents only; its `least` says of how many.
+    """
+    parts = max(64, 1 << max(0, -(-total // together) - 1).bit_length())
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held += _sets(batch, n)
+            if sum(map(len, held)) >= RUN:
+                yield _packed(np.concatenate(held), parts)
+                held = []
+        if held:
+            yield _packed(np.concatenate(held), parts)
+
+    def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = [_unpacked(k, x) for pdf in frames for k, x in zip(pdf["size"], pdf["columns"], strict=True)]
+        marks, counts = (np.concatenate([x[i] for x in both]) for i in range(2))
+        order = np.argsort(marks, kind="stable")
+        marks, counts = marks[order], counts[order]
+        first = np.flatnonzero(np.diff(marks, prepend=marks[0] + np.uint32(1)))
+        counts = np.minimum(np.add.reduceat(counts, first, dtype=np.int64), 255)
+        marks, counts = marks[first][counts > 1], counts[counts > 1]
+        yield pd.DataFrame({"part": [key[0]], "marks": [marks.tobytes()], "counts": [counts.astype(np.uint8).tobytes()], "held": [[int((counts >= k).sum()) for k in LEAST]]})
+
+    counted = docs.select("text").mapInArrow(tidy(runs), "part int, size int, columns binary").groupBy("part").applyInPandas(add, "part int, marks binary, counts binary, held array<long>")
+    counted = stage(counted, "columns")
+    held = [x or 0 for x in counted.agg(*[F.sum(F.col("held")[i]) for i in range(len(LEAST))]).first()]
+    at = next((i for i, k in enumerate(held) if TIGHT_BITS * k <= most_bits), len(LEAST) - 1)
+    least, width = LEAST[at], -(-max(1 << 20, min(most_bits, COLUMN_BITS * held[at])) // parts // 8) * 8
+
+    def bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            made = []
+            for marks, counts in zip(pdf["marks"], pdf["counts"], strict=True):
+                marks, on = np.frombuffer(marks, np.uint32)[np.frombuffer(counts, np.uint8) >= least].astype(np.uint64), np.zeros(width, bool)
+                for second in (False, True):
+                    on[SharedColumns.positions(marks, width, second)] = True
+                made.append(np.packbits(on, bitorder="little").tobytes())
+            yield pd.DataFrame({"part": pdf["part"], "bits": made})
+
+    out = np.zeros(parts * width >> 3, np.uint8)
+    for row in counted.select("part", "marks", "counts").mapInPandas(bits, "part int, bits binary").toLocalIterator():
+        out[row["part"] * (width >> 3) : (row["part"] + 1) * (width >> 3)] = np.frombuffer(row["bits"], np.uint8)
+    drop(counted)
+    return SharedColumns(out, parts, width, least)
+
+
 def _meets(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * inter >= percent * (a + b - inter)
 
@@ -170,20 +286,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     docs = without(docs, ("n_shingles", "component_id", "n_links"))
     spark = docs.sparkSession
     small_batches(spark)
-    rank = spark.sparkContext.broadcast(column_ranks(docs, n, slots))
+    ranks, total = column_ranks(docs, n, slots)
+    rank = spark.sparkContext.broadcast(ranks)
+    common = spark.sparkContext.broadcast(shared_columns(docs, n, total))
     mask = tv.U(slots - 1)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = rank.value
+        order, several = rank.value, common.value
         for batch in batches:
             sets = _sets(batch, n)
             size, marks, heads = [], [], []
-            for s in sets:
+            held = np.split(several.holds(np.concatenate(sets)), np.cumsum([len(s) for s in sets])[:-1]) if sets else []
+            for s, h in zip(sets, held, strict=True):
                 size.append(len(s))
                 marks.append(_marks(s))
                 must = -(-percent * len(s) // 100)
                 head = min(len(s), len(s) - must + depth)
-                heads.append(s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[:head]].astype(np.int64) if len(s) else np.zeros(0, np.int64))
+                # columns that the filter lacks come first; if these are of one document alone, no pair shares them
+                first = np.argsort(np.where(h, np.maximum(order[(s & mask).astype(np.int64)], 1), 0), kind="stable")[:head]
+                heads.append(s[first[h[first]] if several.least == 2 else first].astype(np.int64))
             first = np.zeros(len(sets) + 1, np.int32)
             np.cumsum([len(h) for h in heads], out=first[1:])
             head = pa.ListArray.from_arrays(pa.array(first), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
@@ -193,6 +314,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     own = (F.coalesce("doc_id", F.lit(LOWEST)).alias("doc"), F.xxhash64("text", F.col("doc_id").isNull()).alias("key"))
     keyed = docs.select(*own, "text")
     matrix = stage(keyed.mapInArrow(tidy(rows), "doc long, key long, n long, s1 long, s2 long, head array<long>"), "matrix")
+    for sent in (rank, common):
+        sent.unpersist()
     # documents of equal sets are one row, which bears a number; the document of smallest doc_id stands for them
     solid = matrix.filter("n > 0")
     alike = solid.groupBy("n", "s1", "s2").agg(F.min(F.struct("doc", "key", "head")).alias("m"), F.count("*").alias("copies"))
@@ -205,15 +328,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
 
     # k: how many columns of many rows a row has; such a pair, if less than `least` in either, shares other columns too
     must = lambda n: F.ceil(F.lit(percent) * n / 100)
-    heavy = entries.filter("centre is not null").groupBy("rep").agg(F.collect_list("col").alias("cols"), F.count("*").cast("int").alias("k"), F.min("n").alias("n"))
+    some = lambda has: F.collect_list(F.when(has, F.col("col")))
+    lines = entries.groupBy("rep").agg(some(F.col("centre").isNull()).alias("light"), some(F.col("centre").isNotNull()).alias("cols"), F.min("n").alias("n")).withColumn("k", F.size("cols"))
     # the least that it may share with any row of compatible size
-    heavy = stage(heavy.withColumn("full", F.col("k") >= F.least(F.lit(depth), must(must(F.col("n"))))).drop("n"), "heavy", size[2])
+    lines = stage(lines.withColumn("full", F.col("k") >= F.least(F.lit(depth), must(must(F.col("n"))))), "lines")
+    heavy = lines.filter("k > 0")
     full = heavy.filter("full").select("rep")
     together = components(entries.filter("centre is not null").join(full, "rep", "left_semi").groupBy("col").agg(F.min("rep").alias("centre")).join(entries.select("col", "rep"), "col").join(full, "rep", "left_semi").select("rep", "centre"), "rep", "centre", size[0])
     crowds = stage(together.select(F.col("node").alias("rep"), F.col("component").alias("crowd")), "crowds", size[2])
-    drop(together)
-    known = heavy.select("rep", "k").join(crowds, "rep", "left")
-    lists = entries.filter("centre is null").join(known, "rep", "left").na.fill(0, ["k"]).withColumn("must", must(F.col("n")).cast("int"))
+    drop(together, entries)
+    # a row, not each of its columns, meets its crowd
+    lists = lines.filter(F.size("light") > 0).join(crowds, "rep", "left").select("rep", "n", "k", "crowd", must(F.col("n")).cast("int").alias("must"), F.explode("light").alias("col"))
     lists = lists.groupBy("col").agg(F.sort_array(F.collect_list(F.struct("n", "rep", "must", "k", "crowd"))).alias("r"))
     ordered = lists.select("r", F.posexplode("r").alias("i", "a"))
     ordered = ordered.select("a", F.explode(F.filter(F.expr("slice(r, i + 2, size(r))"), lambda b: (b["n"] * percent <= F.col("a.n") * 100) & ~F.coalesce(b["crowd"] == F.col("a.crowd"), F.lit(False)))).alias("b"))
@@ -225,7 +350,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, slots: in
     unsure = near.filter("shared < least").join(cols.withColumnsRenamed({"rep": "a", "cols": "ca"}), "a").join(cols.withColumnsRenamed({"rep": "b", "cols": "cb"}), "b")
     unsure = unsure.filter(F.col("shared") + F.size(F.array_intersect("ca", "cb")) >= F.col("least"))
     pairs = stage(near.filter("shared >= least").select("a", "b").union(unsure.select("a", "b")), "pairs")
-    drop(entries, heavy, near)
+    drop(lines, near)
 
     # whole sets of the rows that are left; only texts that may be among them move
     wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(crowds.select("rep")).distinct()
